@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfgrid.config import TrackConfig
+from shelfgrid.functions.numbers import fixed
 
 
 class Box(NamedTuple):
@@ -235,14 +236,13 @@ def clip_label(b: Box, width, height) -> Box:
 def training_line(b: Box, width, height, class_id: int = 0) -> Column:
     """``class cx cy w h`` in frame fractions."""
     w, h = _c(width), _c(height)
-    # Half-even before formatting: the JVM formatter rounds exact ties up.
     fractions = (
         ((b.x_min + b.x_max) / F.lit(2.0)) / w,
         ((b.y_min + b.y_max) / F.lit(2.0)) / h,
         (b.x_max - b.x_min) / w,
         (b.y_max - b.y_min) / h,
     )
-    return F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(class_id), *(F.bround(f, 6) for f in fractions))
+    return F.concat_ws(" ", F.lit(str(class_id)), *(fixed(f, 6) for f in fractions))
 
 
 def center_similarity(a: Box, b: Box, factor) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfgrid.functions.numbers import fixed
+
 UNKNOWN = "-"
 ABSENT = "нет"
 
@@ -103,14 +105,13 @@ def parse_decimal(c: Column) -> Column:
 
 
 def normalize_coordinate(c: Column) -> Column:
-    rounded = F.bround(parse_decimal(c), 1)
-    return F.translate(F.format_string("%.1f", rounded), ".", ",")
+    return F.translate(fixed(parse_decimal(c), 1), ".", ",")
 
 
 def normalize_timestamp(c: Column) -> Column:
     number = parse_decimal(c)
     whole = F.abs(number - F.rint(number)) < 1e-6
-    text = F.rtrim(F.format_string("%.2f", F.bround(number, 2)), F.lit("0"))
+    text = F.rtrim(fixed(number, 2), F.lit("0"))
     return F.when(number.isNull(), None).when(whole, F.rint(number).cast("long").cast("string")).otherwise(
         F.rtrim(text, F.lit("."))
     )

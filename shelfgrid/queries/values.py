@@ -55,7 +55,7 @@ def datetime(c):
 
 def coordinate(c):
     n = f"TRY_CAST(replace({known(c)}, ',', '.') AS DOUBLE)"
-    return f"replace(printf('%.1f', round_even({n}, 1)), '.', ',')"
+    return f"replace(printf('%.1f', {n}), '.', ',')"
 
 
 def timestamp(c):

@@ -209,6 +209,15 @@ VIEWS |= {
                concat('46', CAST(x_min % 5 AS STRING)) AS code_value, CAST(y_min % 3 AS INT) AS hypothesis
         FROM det
     """,
+    "candidates": """
+        SELECT video_id, frame_index, timestamp_ms, candidate_index, source, score, x_min, y_min, x_max, y_max, text_density, rectangularity,
+               source = 'qr_anchor' AS has_qr, source = 'qr_anchor' AND candidate_index % 2 = 1 AS has_barcode,
+               source IN ('text_like_region', 'promo_color_layout') OR (source IN ('mixed', 'rectangular_region') AND candidate_index % 2 = 0) AS has_text,
+               source IN ('rectangular_region', 'mixed') AND candidate_index % 3 < 2 AS has_rect,
+               CAST(x_min % 15 AS DOUBLE) / 100.0E0 AS edge_density,
+               CAST((x_max - x_min) * (y_max - y_min) AS DOUBLE) / CASE WHEN candidate_index % 4 = 3 THEN 100000.0E0 ELSE 8294400.0E0 END AS area_ratio
+        FROM det
+    """,
     "crop_boxes": """
         SELECT video_id, frame_index, region_index, kind, x_min % 900 AS x_min, y_min % 700 AS y_min,
                x_min % 900 + (x_max - x_min) AS x_max, y_min % 700 + (y_max - y_min) AS y_max
@@ -218,7 +227,7 @@ VIEWS |= {
 
 DEPENDS = {
     "codes": ("det",), "labels_gt": ("det",), "regions": ("det",), "crop_codes": ("det",), "code_boxes": ("det",),
-    "evidence": ("det",), "crop_boxes": ("regions",),
+    "evidence": ("det",), "candidates": ("det",), "crop_boxes": ("regions",),
 }
 
 EPOCH_US = {"spark": "unix_micros(CAST(ts AS TIMESTAMP))", "duckdb": "epoch_us(ts)"}
