@@ -21,13 +21,23 @@ ZERO_ONE_LOOKALIKES = ("OoОоIl|", "0000111")
 DISCOUNT_LOOKALIKES = ("оОoO−—–", "0000---")
 
 
+# Whitespace as Unicode sees it; spelled out because Java's \\s is ASCII and its Unicode mode is slow.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = f"[{WHITESPACE}]+"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace, no-break spaces included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def digits_only(c: Column) -> Column:

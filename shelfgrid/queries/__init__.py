@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-for _module in ("boxes", "values", "scores"):
+for _module in ("boxes", "values", "scores", "texts"):
     import_module(f"shelfgrid.queries.{_module}")
 
 from shelfgrid.queries.registry import spark_queries, sql_queries  # noqa: E402
