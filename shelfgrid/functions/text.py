@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfgrid.functions.scores import gtin_checksum_ok
-from shelfgrid.functions.values import ZERO_ONE_LOOKALIKES, digits_only, let, normalize_value, squeeze, strip
+from shelfgrid.functions.values import ZERO_ONE_LOOKALIKES, digits_only, let, normalize_value, squeeze, strip, to_int
 
 # Look-alikes mapped before digits are searched.
 OCR_LOOKALIKES = ("OoОоIl|−— ", "0000111-- ")
@@ -91,7 +91,7 @@ def promo_discount(text: Column) -> Column:
 
 
 def discount_number(discount: Column) -> Column:
-    n = F.regexp_extract(discount, "[0-9]{1,2}", 0).try_cast("int")
+    n = to_int(F.regexp_extract(discount, "[0-9]{1,2}", 0))
     return F.when(n.between(1, 90), n)
 
 
@@ -105,8 +105,8 @@ def extract_print_datetime(normalized: Column) -> Column:
         found = F.regexp_extract(normalized, pattern, 0)
         day, month, year, hour, minute = (F.regexp_extract(found, pattern, i) for i in range(1, 6))
         ok = (
-            day.try_cast("int").between(1, 31) & month.try_cast("int").between(1, 12)
-            & hour.try_cast("int").between(0, 23) & minute.try_cast("int").between(0, 59)
+            to_int(day).between(1, 31) & to_int(month).between(1, 12)
+            & to_int(hour).between(0, 23) & to_int(minute).between(0, 59)
         )
         text = F.concat(day, F.lit("."), month, F.lit("." + century), year, F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), minute)
         return F.when(ok, text)
@@ -144,7 +144,7 @@ def cents_text(cents: Column) -> Column:
 
 
 def _cents(runs: Column) -> Column:
-    return F.transform(runs, lambda m: digits_only(m).try_cast("int"))
+    return F.transform(runs, lambda m: to_int(digits_only(m)))
 
 
 def extract_price_cents(normalized: Column) -> Column:
@@ -180,13 +180,15 @@ def choose_price_pair_text(cents: Column, discount: Column) -> Column:
             wanted.isNotNull(), F.greatest(F.lit(0.0), F.lit(20.0) - diff) - F.when(diff > 20, 20.0).otherwise(0.0)
         ).otherwise(F.lit(0.0))
         score = agreement + h / F.lit(1000.0) - (h - lo) / F.greatest(h, F.lit(1.0))
-        ok = (high > low) & (h / F.greatest(lo, F.lit(1.0)) <= 4.0)
-        return F.struct(F.when(ok, score).alias("score"), high.alias("high"), low.alias("low"))
+        return F.struct(score.alias("score"), high.alias("high"), low.alias("low"))
 
     def choose(prices: Column, wanted: Column) -> Column:
-        pairs = F.flatten(F.transform(prices, lambda high: F.transform(prices, lambda low: scored(wanted, high, low))))
+        def lower(high: Column) -> Column:
+            return F.filter(prices, lambda low: (low < high) & (high / F.lit(100.0) / F.greatest(low / F.lit(100.0), F.lit(1.0)) <= 4.0))
+
+        pairs = F.flatten(F.transform(prices, lambda high: F.transform(lower(high), lambda low: scored(wanted, high, low))))
         return let(
-            F.array_max(F.filter(pairs, lambda p: p["score"].isNotNull())),
+            F.array_max(pairs),
             lambda best: F.struct(
                 best["high"].alias("price_default"),
                 F.coalesce(best["low"], F.try_element_at(prices, F.lit(1))).alias("price_card"),
@@ -279,7 +281,8 @@ def _longest_first(runs: Column) -> Column:
 
 def _rub_kop(run: Column, kop: Column) -> Column:
     long = F.length(run) >= 5
-    rub = F.when(long, F.substring(run, F.lit(1), F.length(run) - 2)).otherwise(run).try_cast("long")
+    rub = F.when(long, F.substring(run, F.lit(1), F.length(run) - 2)).otherwise(run)
+    rub = F.nullif(rub, F.lit("")).try_cast("long")
     kopecks = F.when(long, F.right(run, F.lit(2)).try_cast("int")).otherwise(kop)
     return F.when(
         rub.between(10, 9999), F.concat(rub.cast("string"), F.lit("."), F.lpad(kopecks.cast("string"), 2, "0"))

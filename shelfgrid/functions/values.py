@@ -35,6 +35,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
+def to_int(digits: Column) -> Column:
+    """Integer of digit text; blank gives NULL without the cost of a failed cast."""
+    return F.nullif(digits, F.lit("")).try_cast("int")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -49,13 +54,12 @@ def distinct_chars(c: Column) -> Column:
 
 
 def is_unknown(c: Column) -> Column:
-    text = F.lower(strip(c))
-    return c.isNull() | (text == "") | text.isin(*UNKNOWN_WORDS)
+    return c.isNull() | F.coalesce(F.lower(strip(c)).isin("", *UNKNOWN_WORDS), F.lit(False))
 
 
 def normalize_unknown(c: Column) -> Column:
-    text = c.cast("string")
-    return F.when(~is_unknown(text), strip(F.translate(text, "\u00a0", " ")))
+    text = strip(F.translate(c.cast("string"), "\u00a0", " "))
+    return let(text, lambda t: F.when(~F.lower(t).isin("", *UNKNOWN_WORDS), t))
 
 
 def normalize_text(c: Column, max_length: int | None = None) -> Column:
@@ -68,79 +72,89 @@ def normalize_text(c: Column, max_length: int | None = None) -> Column:
 def normalize_price(c: Column) -> Column:
     """First price-like number, 0 < p <= 99999, two decimals."""
     kept = F.regexp_replace(F.translate(normalize_unknown(c), ",", "."), r"[^0-9.]", "")
-    price = F.regexp_extract(kept, r"[0-9]{1,5}(?:\.[0-9]{1,2})?", 0).try_cast("double")
-    return F.when((price > 0) & (price <= 99999), F.format_string("%.2f", price))
+    price = F.nullif(F.regexp_extract(kept, r"[0-9]{1,5}(?:\.[0-9]{1,2})?", 0), F.lit("")).try_cast("double")
+    return let(price, lambda p: F.when((p > 0) & (p <= 99999), F.format_string("%.2f", p)))
 
 
 def normalize_discount(c: Column) -> Column:
     text = F.translate(normalize_unknown(c), *DISCOUNT_LOOKALIKES)
-    number = F.regexp_extract(text, r"(?U)-?\s*([0-9]{1,2})\s*%", 1).try_cast("int")
-    return F.when(number.between(1, 90), F.format_string("-%d%%", number))
+    number = to_int(F.regexp_extract(text, f"-?(?:{SPACES})?([0-9]{{1,2}})(?:{SPACES})?%", 1))
+    return let(number, lambda n: F.when(n.between(1, 90), F.concat(F.lit("-"), n.cast("string"), F.lit("%"))))
 
 
 def normalize_barcode(c: Column, allow_internal: bool = True) -> Column:
     digits = digits_only(F.translate(normalize_unknown(c), *ZERO_ONE_LOOKALIKES))
-    size = F.length(digits)
-    allowed = size.between(6, 14) if allow_internal else size.isin(8, 12, 13, 14)
-    return F.when(allowed & (distinct_chars(digits) > 1), digits)
+
+    def checked(d: Column) -> Column:
+        size = F.length(d)
+        allowed = size.between(6, 14) if allow_internal else size.isin(8, 12, 13, 14)
+        return F.when(allowed & (distinct_chars(d) > 1), d)
+
+    return let(digits, checked)
 
 
 def normalize_id_sku(c: Column) -> Column:
-    digits = digits_only(normalize_unknown(c))
-    return F.when(F.length(digits).between(6, 14) & (distinct_chars(digits) > 1), digits)
+    return let(
+        digits_only(normalize_unknown(c)),
+        lambda d: F.when(F.length(d).between(6, 14) & (distinct_chars(d) > 1), d),
+    )
 
 
 def normalize_datetime(c: Column) -> Column:
     """``dd.mm.yyyy h:mm``, else the two-digit year form; impossible dates are unknown."""
     text = squeeze(F.translate(normalize_unknown(c), ",", "."))
 
-    def read(year_digits: int, century: str) -> Column:
-        pattern = rf"([0-9]{{2}})[.]([0-9]{{2}})[.]([0-9]{{{year_digits}}})\s+([0-9]{{1,2}})[:.]([0-9]{{2}})"
-        day, month, year, hour, minute = (F.regexp_extract(text, pattern, i) for i in range(1, 6))
-        moment = F.try_make_timestamp(
-            F.concat(F.lit(century), year).try_cast("int"), month.try_cast("int"), day.try_cast("int"),
-            hour.try_cast("int"), minute.try_cast("int"), F.lit(0),
-        )
-        # Hour 24 and second 60 are accepted by no calendar reading of the tag.
-        sane = (hour.try_cast("int") <= 23) & (minute.try_cast("int") <= 59) & (F.concat(F.lit(century), year).try_cast("int") >= 1)
-        return F.when(sane, F.date_format(moment, "dd.MM.yyyy HH:mm"))
+    def moment(parts: Column, century: str) -> Column:
+        day, month, hour, minute = (to_int(F.get(parts, F.lit(i))) for i in (0, 1, 3, 4))
+        year = to_int(F.concat(F.lit(century), F.get(parts, F.lit(2))))
+        # The ranges come first: an out-of-range argument costs an exception per row.
+        sane = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (year >= 1)
+        return F.when(sane, F.date_format(F.try_make_timestamp(year, month, day, hour, minute, F.lit(0)), "dd.MM.yyyy HH:mm"))
 
-    return F.coalesce(read(4, ""), read(2, "20"))
+    def read(t: Column, year_digits: int, century: str) -> Column:
+        pattern = rf"[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{{year_digits}}} [0-9]{{1,2}}[:.][0-9]{{2}}"
+        parts = F.split(F.regexp_extract(t, pattern, 0), "[ .:]")
+        return let(parts, lambda p: moment(p, century))
+
+    return let(text, lambda t: F.coalesce(read(t, 4, ""), read(t, 2, "20")))
 
 
 def parse_decimal(c: Column) -> Column:
     """Number with a decimal comma or dot; anything else, and non-finite values, NULL."""
     number = F.translate(normalize_unknown(c), ",", ".").try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
+    return let(number, lambda n: F.when(~F.isnan(n) & (F.abs(n) != F.lit(float("inf"))), n))
 
 
 def normalize_coordinate(c: Column) -> Column:
-    return F.translate(fixed(parse_decimal(c), 1), ".", ",")
+    return let(parse_decimal(c), lambda n: F.translate(fixed(n, 1), ".", ","))
 
 
 def normalize_timestamp(c: Column) -> Column:
-    number = parse_decimal(c)
-    whole = F.abs(number - F.rint(number)) < 1e-6
-    text = F.rtrim(fixed(number, 2), F.lit("0"))
-    return F.when(number.isNull(), None).when(whole, F.rint(number).cast("long").cast("string")).otherwise(
-        F.rtrim(text, F.lit("."))
-    )
+
+    def shown(number: Column) -> Column:
+        whole = F.abs(number - F.rint(number)) < 1e-6
+        text = F.rtrim(F.rtrim(fixed(number, 2), F.lit("0")), F.lit("."))
+        return F.when(whole, F.rint(number).cast("long").cast("string")).otherwise(text)
+
+    return let(parse_decimal(c), shown)
 
 
 def validate_price_pair(default: Column, card: Column) -> tuple[Column, Column]:
     """A card price above the shelf price leaves only the card price."""
-    d, c = normalize_price(default), normalize_price(card)
-    return F.when(d.isNull() | c.isNull() | (c.cast("double") <= d.cast("double")), d), c
+    c = normalize_price(card)
+    checked = let(
+        F.struct(normalize_price(default).alias("d"), c.alias("c")),
+        lambda p: F.when(p["d"].isNull() | p["c"].isNull() | (p["c"].cast("double") <= p["d"].cast("double")), p["d"]),
+    )
+    return checked, c
 
 
 def normalize_value(c: Column) -> Column:
     """Parser view of a raw value: absent words become ``нет``, dashes and blanks NULL."""
     text = strip(F.translate(c.cast("string"), "\u00a0", " "))
-    low = F.lower(text)
-    return (
-        F.when(text == "", None)
-        .when(low.isin(*PARSER_ABSENT_WORDS), F.lit(ABSENT))
-        .when(~low.isin(*PARSER_UNKNOWN_WORDS), text)
+    return let(
+        text,
+        lambda t: F.when(F.lower(t).isin(*PARSER_ABSENT_WORDS), F.lit(ABSENT)).when(~t.isin("", *PARSER_UNKNOWN_WORDS), t),
     )
 
 
@@ -150,8 +164,7 @@ def normalize_output(c: Column) -> Column:
 
 def first_known(*columns: Column) -> Column:
     def known(c: Column) -> Column:
-        text = strip(c.cast("string"))
-        return F.when((text != "") & ~F.lower(text).isin(*FIRST_KNOWN_SKIPPED), text)
+        return let(strip(c.cast("string")), lambda t: F.when(~F.lower(t).isin("", *FIRST_KNOWN_SKIPPED), t))
 
     return F.coalesce(*(known(c) for c in columns))
 
