@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgrid.functions import geometry as g
@@ -42,3 +42,16 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str] = FRAME
 
 def renamed_box(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in ("x_min", "y_min", "x_max", "y_max")})
+
+
+def cut_at_gaps(df: DataFrame, keys: list[str], position: str, gap: float) -> DataFrame:
+    """Number the stretches of each group between position gaps wider than ``gap``.
+
+    Only the distinct positions of a group are ordered (frames, not boxes); the rows then pick their
+    stretch up by an equi-join.
+    """
+    by_group = Window.partitionBy(*keys).orderBy(position)
+    stops = df.select(*keys, position).distinct()
+    stops = stops.withColumn("_new", (F.col(position) - F.lag(position).over(by_group) > gap).cast("int"))
+    stops = stops.withColumn("segment", F.sum(F.coalesce("_new", F.lit(0))).over(by_group).cast("int")).drop("_new")
+    return df.join(stops, [*keys, position])
