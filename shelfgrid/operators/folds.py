@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 BATCH = 5_000
 
+_ARROW = {
+    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(),
+    "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()),
+}
+
 
 def fold_groups(
     df: DataFrame,
@@ -26,15 +31,18 @@ def fold_groups(
     """
     names = df.columns
     key_at = [names.index(k) for k in keys]
-    out_names = [part.strip().split()[0] for part in schema.split(",")]
+    out_schema = pa.schema([(n, _ARROW[t]) for n, t in (part.strip().split() for part in schema.split(","))])
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema
+        )
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def run(batches: Iterable[pa.RecordBatch]):
         folder, current, buffer = None, None, []
         for batch in batches:
-            # Object columns keep Python scalars and real None values.
-            columns = [batch[name].astype(object).where(batch[name].notna(), None) if batch[name].dtype != object
-                       else batch[name] for name in names]
-            for row in zip(*columns):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 key = tuple(row[i] for i in key_at)
                 if key != current:
                     if folder is not None:
@@ -42,12 +50,12 @@ def fold_groups(
                     folder, current = make(), key
                 buffer.extend(folder.push(row))
                 if len(buffer) >= BATCH:
-                    yield pd.DataFrame(buffer, columns=out_names)
+                    yield packed(buffer)
                     buffer = []
         if folder is not None:
             buffer.extend(folder.finish())
-        if buffer:
-            yield pd.DataFrame(buffer, columns=out_names)
+        for start in range(0, len(buffer), BATCH):
+            yield packed(buffer[start : start + BATCH])
 
     arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return arranged.mapInPandas(run, schema)
+    return arranged.mapInArrow(run, schema)
