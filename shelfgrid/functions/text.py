@@ -492,9 +492,10 @@ def name_trigrams(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - shared
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / F.greatest(total, F.lit(1)))
+    return let(
+        F.size(F.array_intersect(a, b)),
+        lambda shared: shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)),
+    )
 
 
 def looks_like_garbage(c: Column) -> Column:
