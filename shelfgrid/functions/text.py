@@ -491,6 +491,14 @@ def name_trigrams(c: Column) -> Column:
     return F.array_distinct(F.filter(grams, lambda g: F.length(g) == 3))
 
 
+def packed_trigrams(c: Column) -> Column:
+    """Trigrams as exact integers (21 bits per character), which compare far faster than strings."""
+    def code(gram: Column, at: int) -> Column:
+        return F.ascii(F.substring(gram, at, 1)).cast("long")
+
+    return F.transform(name_trigrams(c), lambda g: code(g, 1) * (1 << 42) + code(g, 2) * (1 << 21) + code(g, 3))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return let(
         F.size(F.array_intersect(a, b)),
