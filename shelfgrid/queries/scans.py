@@ -33,12 +33,14 @@ def scan_ocr_words(t):
                       CASE WHEN k = 1 THEN 91 ELSE CAST(json_extract_string(b, '$[2]') AS INT) END AS x_max, CASE WHEN k = 1 THEN 60 ELSE 25 END AS y_max FROM e
                WHERE text <> '' AND coalesce(conf, 1.0E0) >= 0.15),
          d AS (SELECT *, row_number() OVER (PARTITION BY tag_id, payload_index, l_suppkey, l_partkey, text, x_min, y_min, x_max, y_max ORDER BY k) AS rk FROM f)
-    SELECT tag_id, payload_index, l_suppkey, l_partkey, string_agg(text, chr(10) ORDER BY k) AS raw_text, CAST(printf('%.6f', CAST(sum(CAST(coalesce(conf, 1) AS DECIMAL(18,6))) AS DOUBLE) / count(*)) AS DOUBLE) AS confidence
+    SELECT tag_id, payload_index, l_suppkey, l_partkey, string_agg(text, chr(10) ORDER BY k) AS raw_text, CAST(printf('%.6f', CAST(sum(CAST(coalesce(conf, 1) AS DECIMAL(18,6))) AS DOUBLE) / count(*)) AS DOUBLE) AS confidence,
+           sum(x_min * 7 + y_min * 11 + x_max * 13 + y_max * 17) AS box_sum
     FROM d WHERE rk = 1 GROUP BY ALL""")
 def flatten_ocr_payload(t):
     keys = ["tag_id", "payload_index", "l_suppkey", "l_partkey"]
-    # Equal keys can repeat in the input; a payload row counts once.
-    return rd.ocr_texts(rd.ocr_blocks(t.ocr_payloads), keys)
+    blocks = rd.ocr_blocks(t.ocr_payloads)
+    box_sum = F.sum(F.col("x_min") * 7 + F.col("y_min") * 11 + F.col("x_max") * 13 + F.col("y_max") * 17)
+    return rd.ocr_texts(blocks, keys).join(blocks.groupBy(*keys).agg(box_sum.alias("box_sum")), keys)
 
 
 @query("expand_frame_index", "videos", """

@@ -13,6 +13,7 @@ from shelfgrid.functions.numbers import exact_round
 
 SIDES = ["x_min", "y_min", "x_max", "y_max"]
 HEAD_BYTES = 8192
+BOM = "\ufeff"
 
 # Header spellings of the catalogue columns, in order of preference.
 PRODUCT_HEADERS = (
@@ -35,7 +36,7 @@ def scan_detections(
 ) -> DataFrame:
     """Detection report with decimal commas; blank numbers are 0 and integers round half to even."""
     raw = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8", inferSchema=False)
-    raw = raw.toDF(*(c.lstrip("﻿") for c in raw.columns))
+    raw = raw.toDF(*(c.lstrip(BOM) for c in raw.columns))
     video = F.col("video_id") if "video_id" in raw.columns else F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1)
     rows = raw.select(
         video.alias("video_id"), F.rint(_number("frame_index")).cast("int").alias("frame_index"),
@@ -72,13 +73,21 @@ def sniff_csv(spark: SparkSession, path: str, separators=(";", ",", "\t")) -> tu
 
 
 def scan_flexible_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV in UTF-8 or Windows Cyrillic; the latter is read byte for byte and its letters are mapped."""
     encoding, sep = sniff_csv(spark, path)
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+    cyrillic = encoding == "windows-1251"
+    df = spark.read.csv(path, header=True, sep=sep, encoding="ISO-8859-1" if cyrillic else encoding, inferSchema=False)
+    names = [c.encode("latin-1", "replace").decode("cp1251", "replace") if cyrillic else c for c in df.columns]
+    df = df.toDF(*(c.lstrip(BOM).strip() for c in names))
+    if not cyrillic:
+        return df
+    high = [chr(b) for b in range(128, 256) if b != 0x98]  # the one byte the code page leaves undefined
+    letters = bytes(b for b in range(128, 256) if b != 0x98).decode("cp1251")
+    return df.select(*(F.translate(F.col(f"`{c}`"), "".join(high), letters).alias(c) for c in df.columns))
 
 
 def _header(name: str) -> str:
-    return " ".join(name.strip().lower().replace("﻿", "").replace("_", " ").replace("-", " ").split())
+    return " ".join(name.strip().lower().replace(BOM, "").replace("_", " ").replace("-", " ").split())
 
 
 def catalog_columns(df: DataFrame) -> DataFrame:
@@ -184,10 +193,13 @@ def ocr_blocks(payloads: DataFrame, min_confidence: float = 0.15) -> DataFrame:
     rows = parsed.select(*keep, F.posexplode(F.coalesce(modern, legacy)).alias("block_index", "b"))
     flat = F.try_variant_get(F.col("b.box"), "$", "array<double>")
     points = F.try_variant_get(F.col("b.box"), "$", "array<array<double>>")
-    xs = F.coalesce(F.array(F.get(flat, F.lit(0)), F.get(flat, F.lit(2))), F.transform(points, lambda p: F.get(p, F.lit(0))))
-    ys = F.coalesce(F.array(F.get(flat, F.lit(1)), F.get(flat, F.lit(3))), F.transform(points, lambda p: F.get(p, F.lit(1))))
-    xs = F.when(flat.isNotNull(), xs).otherwise(F.transform(points, lambda p: F.get(p, F.lit(0))))
-    ys = F.when(flat.isNotNull(), ys).otherwise(F.transform(points, lambda p: F.get(p, F.lit(1))))
+    is_flat = F.get(flat, F.lit(0)).isNotNull()
+
+    def axis(at: int) -> Column:
+        pair = F.array(F.get(flat, F.lit(at)), F.get(flat, F.lit(at + 2)))
+        return F.when(is_flat, pair).otherwise(F.transform(points, lambda p: F.get(p, F.lit(at))))
+
+    xs, ys = axis(0), axis(1)
 
     def side(pick, axis) -> Column:
         return F.rint(pick(axis)).cast("int")

@@ -28,7 +28,7 @@ def stream_tracks(detections: DataFrame, cfg: TrackConfig = TrackConfig(), late:
     arrive in one micro-batch. State is the last three boxes of each open track.
     """
     b = g.box()
-    rows = event_time(detections.filter(track_gate(b, F.col("score"), cfg)))
+    rows = event_time(detections.filter(track_gate(b, F.col("score"), cfg)), shift_us=1)
     rows = rows.withColumn("quality", g.detection_quality(b, F.col("score"), F.col("source")))
     rows = rows.withWatermark("event_time", late).select(
         "video_id", "frame_index", "candidate_index", "quality", *SIDES, "event_time"
