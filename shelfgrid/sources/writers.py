@@ -10,7 +10,7 @@ from shelfgrid.functions.numbers import exact_round
 from shelfgrid.schemas import FINAL_COLUMNS
 
 SIDES = ["x_min", "y_min", "x_max", "y_max"]
-BOM = "﻿"
+BOM = "\ufeff"
 
 # Column layouts of the reports.
 TRACK_COLUMNS = [
