@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfgrid.functions import values as v
 from shelfgrid.queries.registry import query
+from shelfgrid.sources.tables import spread
 
 KEY = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
 K = ", ".join(KEY)
@@ -214,5 +215,5 @@ CODE = "(CASE WHEN length(c) BETWEEN 6 AND 14 AND len(list_distinct(string_split
 def fuse_final_rows(t):
     from shelfgrid.plans.fusion import fuse_final_rows as fuse
 
-    rows = tag(t).withColumn("timestamp_ms", F.col("l_orderkey") * 40)
+    rows = spread(tag(t)).withColumn("timestamp_ms", F.col("l_orderkey") * 40)
     return fuse(rows, filename="in/shelf.mp4", keep=KEY, for_sink=True)
