@@ -175,7 +175,7 @@ def fit_words(labelled: DataFrame, characters: dict[str, int], confidence: float
     prior = math.log(toxic / clean)
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - prior
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rated = counts.where("feature != '' and toxic > 2").select("feature", (odds - confidence * error).alias("e")).where("e > 0.3")
+    rated = counts.where("feature != '' and toxic > 2").select("feature", "clean", "toxic", (odds - confidence * error).alias("e")).where("e > 0.3 and (feature not like '%*' or toxic >= 9 * clean)")
     return {r["feature"]: r["e"] for r in rated.orderBy(F.desc("e"), "feature").limit(most).collect()}, prior
 
 
@@ -185,7 +185,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | Non
     ``labels`` has ``text`` and ``toxic`` and is what the score learns from. Every text is restored first: tokens with
     digits or marks among letters, long runs of a letter and spaced-out letters become lattices, decoded by Viterbi
     under a character model of ``all_docs`` (``docs`` by default). The log odds of the restored text are the prior plus the evidence of its
-    three strongest independent features. Null and empty texts get the prior's score, repeated rows the same score, and
+    two strongest words or of its strongest word beginning, whichever is more. Null and empty texts get the prior's score, repeated rows the same score, and
     an empty table no rows; without labels every score is a half. Columns named like a new one are replaced.
     """
     characters = fit_characters(docs if all_docs is None else all_docs, text)
@@ -199,11 +199,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | Non
             scores = []
             for value in batch.column(text).to_pylist():
                 found = _features(clear_words(value or "", model, known)) & evidence.keys()
-                best: dict[str, float] = {}
-                for f in found:  # a word and its beginning are one piece of evidence
-                    key = f[:4]
-                    best[key] = max(best.get(key, 0.0), evidence[f])
-                logit = prior + sum(sorted(best.values(), reverse=True)[:3])
+                words = sorted((evidence[f] for f in found if f[-1] != "*"), reverse=True)
+                beginnings = max((evidence[f] for f in found if f[-1] == "*"), default=0.0)
+                logit = prior + max(sum(words[:2]), beginnings)  # the two overlap, so they are not added up
                 scores.append(1 / (1 + math.exp(-max(min(logit, 30.0), -30.0))))
             columns = [*batch.columns, pa.array(scores, pa.float64())]
             yield pa.record_batch(columns, names=[*batch.schema.names, "score"])
