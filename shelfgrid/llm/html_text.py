@@ -205,12 +205,13 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     pages = pages.drop("text", "n_chars")
     rest = pages.drop(html)
+    kept = rest.columns
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(html).to_pylist()]
-            columns = [batch.column(n) for n in rest.columns] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.record_batch(columns, names=[*rest.columns, "text", "n_chars"])
+            columns = [batch.column(n) for n in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.record_batch(columns, names=[*kept, "text", "n_chars"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return pages.mapInArrow(extract, f"{schema + ', ' if schema else ''}text string, n_chars long")
