@@ -36,6 +36,14 @@ def _bit(hash_: Column, bits: Column) -> Column:
     return F.call_function("shiftright", word, hash_.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
+def _short_windows(words: Column, width: int, known: Column) -> Column:
+    """Runs of ``width`` words that may be a whole short item."""
+    maybe = F.filter(_starts(words, width), lambda p: _bit(F.xxhash64(F.slice(words, p, width)), known))
+    return F.transform(maybe, lambda p: F.struct(
+        p.alias("start"), F.lit(width).alias("width"), F.array_join(F.slice(words, p, width), " ").alias("window")
+    ))
+
+
 def _filter_bits(hashes: DataFrame) -> Column:
     """Which of ``_SLOTS`` slots the hashes fall into, as an array of 64-bit words; at most 2048 numbers reach the driver."""
     slot = F.shiftright("hash", 6).bitwiseAND(_SLOTS // 64 - 1).cast("int")
@@ -103,15 +111,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int
     short = F.array().cast("array<struct<start:int,width:int,window:string>>")
     if lengths:
         known = _filter_bits(windows.where(F.col("width") < span).select(F.xxhash64(F.split("window", " ")).alias("hash")))
-        short = F.concat(*(
-            F.transform(
-                F.filter(_starts(words, m), lambda p, m=m: _bit(F.xxhash64(F.slice(words, p, m)), known)),
-                lambda p, m=m: F.struct(
-                    p.alias("start"), F.lit(m).alias("width"), F.array_join(F.slice(words, p, m), " ").alias("window")
-                ),
-            )
-            for m in sorted(lengths)
-        ))
+        short = F.concat(*(_short_windows(words, m, known) for m in sorted(lengths)))
     read = written(_kept(read, "_maybe", maybe).select(
         *docs.drop(text).columns, "_row", n.cast("long").alias("n_words"), F.transform("_maybe", context).alias("_found"),
         short.alias("_short"),
