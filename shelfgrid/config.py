@@ -20,7 +20,7 @@ class TrackConfig:
     min_match_iou: float = 0.04
     distance_factor: float = 3.2
     min_detections: int = 2
-    max_per_frame: int = 40
+    max_per_frame: int | None = None  # the service keeps 40
     merge_gap: int = 72
     merge_score: float = 0.34
     frame_width: int = 3840
@@ -42,7 +42,7 @@ class DetectConfig:
     min_aspect: float = 0.20
     max_aspect: float = 6.0
     min_score: float = 0.50
-    max_candidates: int | None = 80
+    max_candidates: int | None = None  # the service keeps 80
     merge_iou: float = 0.45
     merge_containment: float = 0.85
     diverse_iou: float = 0.50

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,16 @@ def overlap(a, b) -> int:
     return w * h if w > 0 and h > 0 else 0
 
 
+def overlaps(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Shared area of one box with each of many."""
+    sides = np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2])
+    return np.where((sides > 0).all(axis=1), sides[:, 0] * sides[:, 1], 0)
+
+
+def areas(boxes: np.ndarray) -> np.ndarray:
+    return np.maximum(boxes[:, 2] - boxes[:, 0], 0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0)
+
+
 def box_iou(a, b) -> float:
     inter = overlap(a, b)
     total = area(a) + area(b) - inter
@@ -95,15 +106,10 @@ def _suppress_rounds(rows: DataFrame, keys, rank_value: Column, cells: Callable,
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the shared folder the cluster names; only a session without one gets a local folder."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        import tempfile
-
-        configured = tempfile.mkdtemp(prefix="shelfgrid-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
+    """Use the shared folder the cluster names, else one in the warehouse, which all executors share as well."""
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def suppress(
@@ -264,29 +270,26 @@ class _GroupFold:
         )
 
     def finish(self):
-        grown = [self.grow(r[:4]) for r in self.rows]
-        used = [False] * len(self.rows)
-        groups = []
-        for i, (x1, y1, x2, y2, order, mass) in enumerate(self.rows):
-            if used[i]:
-                continue
-            group, reach = (x1, y1, x2, y2), grown[i]
-            for k in range(i + 1, len(self.rows)):
-                if used[k] or not overlap(reach, grown[k]):
-                    continue
-                other = self.rows[k]
-                group = (min(group[0], other[0]), min(group[1], other[1]), max(group[2], other[2]), max(group[3], other[3]))
-                reach = self.grow(group)
-                mass += other[5]
-                used[k] = True
-            groups.append((group, order, mass))
-        kept = []
-        for group, order, mass in groups:
-            if any(box_iou(group, k) >= self.threshold for k, _, _ in kept):
+        boxes = np.array([r[:4] for r in self.rows], np.int64).reshape(-1, 4)
+        reaches = np.array([self.grow(r[:4]) for r in self.rows], np.int64).reshape(-1, 4)
+        free = np.ones(len(boxes), bool)
+        kept = np.zeros((0, 4), np.int64)
+        for first, row in enumerate(self.rows):
+            if not free[first]:
                 continue
-            kept.append((group, order, mass))
-        for group, order, mass in kept:
-            yield (*self.keys, order, *group, mass)
+            union, reach, mass, at = boxes[first], reaches[first], row[5], first
+            # The reach only changes when a box joins, so jump to the next free box that it meets.
+            while len(met := np.flatnonzero(free[at + 1:] & (overlaps(reach, reaches[at + 1:]) > 0))):
+                at += 1 + int(met[0])
+                free[at] = False
+                union = np.append(np.minimum(union[:2], boxes[at, :2]), np.maximum(union[2:], boxes[at, 2:]))
+                reach = np.array(self.grow([int(v) for v in union]), np.int64)
+                mass += self.rows[at][5]
+            common = overlaps(union, kept)
+            total = areas(union[None]) + areas(kept) - common
+            if not (common >= self.threshold * total)[total > 0].any():
+                kept = np.vstack([kept, union])
+                yield (*self.keys, row[4], *(int(v) for v in union), mass)
 
 
 def group_near_boxes(

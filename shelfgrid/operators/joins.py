@@ -325,11 +325,11 @@ def pair_rub_kop(words: DataFrame, key: str = "tag_id", cell: int = CELL) -> Dat
 
 
 class _LabelMatchFold:
-    """Detections in order take their best unused label; a label leaves the state once out of reach."""
+    """Detections in order take their best unused label; the state is the labels used in one segment."""
 
     def __init__(self, window_ms: float, threshold: float):
         self.window, self.threshold = window_ms, threshold
-        self.used: dict = {}
+        self.used: set = set()
         self.current = None
 
     def push(self, row):
@@ -341,9 +341,7 @@ class _LabelMatchFold:
         self.current = (frame, candidate)
         if overlap < self.threshold:
             return ()
-        if len(self.used) > 10_000:
-            self.used = {k: t for k, t in self.used.items() if t >= stamp - self.window}
-        self.used[label] = label_stamp
+        self.used.add(label)
         return ((video, frame, candidate, label, overlap),)
 
     def finish(self):

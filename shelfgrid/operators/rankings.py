@@ -37,8 +37,8 @@ def top_candidates_per_frame(candidates: DataFrame, limit: int = 30) -> DataFram
     return rows.withColumn("candidate_index", F.col("rk") - 1).drop("rk")
 
 
-def rank_promising(candidates: DataFrame, max_detections: int = 200, max_crops: int = 60) -> DataFrame:
-    """The promising boxes among the first ``max_detections`` by priority, at most ``max_crops``."""
+def rank_promising(candidates: DataFrame, max_detections: int | None = None, max_crops: int | None = None) -> DataFrame:
+    """The promising boxes by priority; optionally among the first ``max_detections`` and at most ``max_crops`` (the service: 200, 60)."""
     b, source, score = g.box(), F.col("source"), F.col("score")
     priority = (
         F.when(source.contains("anchor"), 3.0).when(source == "promo_color_layout", 2.0)
@@ -48,8 +48,9 @@ def rank_promising(candidates: DataFrame, max_detections: int = 200, max_crops:
         priority.desc(), score.desc(), F.least(b.area / F.lit(500_000.0), F.lit(1.0)).asc(),
         F.col("video_id"), F.col("frame_index"), F.col("candidate_index"),
     ]
-    looked_at = candidates.orderBy(*order).limit(max_detections)
-    return looked_at.filter(is_promising(b, source, score)).orderBy(*order).limit(max_crops)
+    looked_at = candidates if max_detections is None else candidates.orderBy(*order).limit(max_detections)
+    found = looked_at.filter(is_promising(b, source, score)).orderBy(*order)
+    return found if max_crops is None else found.limit(max_crops)
 
 
 def best_ocr_variant(variants: DataFrame, key: str = "tag_id", order: str = "variant_index") -> DataFrame:

@@ -69,14 +69,15 @@ def tags_to_csv(recognized: DataFrame, filename: str | None = None, keep: list[s
 
 def parse_crops(
     crops: DataFrame, keys: list[str], order: list[str], variants: DataFrame, promo: DataFrame, catalog: DataFrame,
-    max_rows: int = 80,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Crops with any price or code field, first ``max_rows`` in report order."""
+    """Crops with any price or code field, in report order; optionally the first ``max_rows``."""
     texts = best_ocr_variant(variants).select("tag_id", "raw_text")
     best = best_promo_result(promo).select("tag_id", *("confidence", "price_card", "price_default", "discount_amount"))
     rows = crops.join(texts, "tag_id", "left")
     out = recognize_detections(rows, keys, catalog, promo=crops.select(*keys).join(best, "tag_id"))
-    return out.filter(sc.has_signal(out.columns)).orderBy(*order).limit(max_rows)
+    out = out.filter(sc.has_signal(out.columns)).orderBy(*order)
+    return out if max_rows is None else out.limit(max_rows)
 
 
 def detect_candidates(

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from shelfgrid.config import DetectConfig
 from shelfgrid.operators import greedy as gr
 from shelfgrid.operators import joins as j
 from shelfgrid.operators import tracking as tr
@@ -36,7 +35,7 @@ def hard_overlap(i, c):
 
 @query("nms_detections", "det", f"""
     WITH {kept(f"SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY {s.quality()} DESC, candidate_index) AS rk FROM det",
-               hard_overlap(0.5, 0.86), [("candidate_index", "INT"), *BOX_FIELDS], 40)}
+               hard_overlap(0.5, 0.86), [("candidate_index", "INT"), *BOX_FIELDS])}
     SELECT video_id, frame_index, e.candidate_index AS candidate_index FROM kept""")
 def nms_detections(t):
     return gr.nms_detections(t.det).select(*KEY)
@@ -50,13 +49,13 @@ RANK = RANK.replace("score + (", "score + ((", 1) + ")"
 
 @query("select_diverse", "candidates", f"""
     WITH {kept(f"SELECT *, CASE WHEN source = 'promo_color_layout' THEN x_min % 3 END AS lk, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY {RANK} DESC, rectangularity DESC, {s.area()} DESC, candidate_index) AS rk FROM candidates",
-               f"coalesce(k.lk = c.lk, FALSE) OR {hard_overlap(0.5, 0.82)}", [("candidate_index", "INT"), ("lk", "INT"), *BOX_FIELDS], 6)}
+               f"coalesce(k.lk = c.lk, FALSE) OR {hard_overlap(0.5, 0.82)}", [("candidate_index", "INT"), ("lk", "INT"), *BOX_FIELDS])}
     SELECT video_id, frame_index, e.candidate_index AS candidate_index FROM kept""")
 def select_diverse(t):
     rows = t.candidates.withColumn(
         "layout_key", F.when(F.col("source") == "promo_color_layout", (F.col("x_min") % 3).cast("string"))
     )
-    return gr.select_diverse(rows, DetectConfig(max_candidates=6)).select(*KEY)
+    return gr.select_diverse(rows).select(*KEY)
 
 
 @query("distinct_codes", "code_boxes", f"""

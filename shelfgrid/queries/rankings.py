@@ -19,9 +19,9 @@ K = ", ".join(TAG_KEY)
     WITH q AS (SELECT *, floor(timestamp_ms / 60000.0E0) AS w FROM frames),
          b AS (SELECT *, row_number() OVER (PARTITION BY video_id, w ORDER BY quality_score DESC, frame_index) AS rk FROM q),
          t AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY w) AS n FROM b WHERE rk = 1 AND quality_score >= 0.10)
-    SELECT video_id, CAST(w AS BIGINT) AS window_id, frame_index, timestamp_ms, quality_score FROM t WHERE n <= 50""")
+    SELECT video_id, CAST(w AS BIGINT) AS window_id, frame_index, timestamp_ms, quality_score FROM t""")
 def best_frame_per_window(t):
-    return k.best_frame_per_window(t.frames, window_sec=60.0, min_quality=0.10, max_frames=50)
+    return k.best_frame_per_window(t.frames, window_sec=60.0, min_quality=0.10)
 
 
 @query("top_candidates_per_frame", "det", f"""
@@ -36,11 +36,11 @@ PRIORITY = f"CASE WHEN contains(source, 'anchor') THEN 3 WHEN source = 'promo_co
 
 @query("rank_promising", "det", f"""
     WITH o AS (SELECT *, row_number() OVER (ORDER BY {PRIORITY} DESC, score DESC, least({s.area()} / 500000.0E0, 1.0E0), video_id, frame_index, candidate_index) AS n FROM det),
-         p AS (SELECT *, row_number() OVER (ORDER BY n) AS m FROM o WHERE n <= 2000 AND least(x_min, y_min) >= 12 AND x_max <= 3828 AND y_max <= 2148 AND {s.w()} >= 90 AND {s.h()} >= 70
+         p AS (SELECT *, row_number() OVER (ORDER BY n) AS m FROM o WHERE least(x_min, y_min) >= 12 AND x_max <= 3828 AND y_max <= 2148 AND {s.w()} >= 90 AND {s.h()} >= 70
                AND (contains(source, 'anchor') OR (source = 'promo_color_layout' AND score >= 0.74) OR (source = 'mixed' AND score >= 0.70 AND {s.area()} <= 180000)))
-    SELECT {KEY_SQL}, source, score FROM p WHERE m <= 300""")
+    SELECT {KEY_SQL}, source, score FROM p""")
 def rank_promising(t):
-    return k.rank_promising(t.det, 2000, 300).select(*KEY, "source", "score")
+    return k.rank_promising(t.det).select(*KEY, "source", "score")
 
 
 @query("best_ocr_variant", "ocr_variants", f"""
@@ -96,11 +96,11 @@ def predicted_box(t):
 
 
 @query("track_gap", "det", f"""
-    WITH q AS (SELECT *, CASE WHEN {s.near_edge('')} THEN 72 ELSE 36 END AS allowed FROM det WHERE candidate_index >= 4),
+    WITH q AS (SELECT *, CASE WHEN {s.near_edge('')} THEN 72 ELSE 36 END AS allowed FROM det),
          f AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER ({W}) > lag(allowed) OVER ({W}) THEN 1 ELSE 0 END AS cut FROM q)
     SELECT {KEY_SQL}, CAST(sum(cut) OVER ({W} ROWS UNBOUNDED PRECEDING) AS INT) AS part FROM f""")
 def track_gap(t):
-    return k.track_gap(tracks(t).filter("candidate_index >= 4")).select(*KEY, "part")
+    return k.track_gap(tracks(t)).select(*KEY, "part")
 
 
 TEXT_CANDS = (
@@ -130,7 +130,7 @@ def split_train_val(t):
     return k.split_train_val(label_items(t).select("image_name"), val_ratio=0.2, seed=42)
 
 
-@query("order_outputs", "det", f"SELECT {KEY_SQL}, score FROM det WHERE score >= 0.9 ORDER BY score DESC, video_id, frame_index, candidate_index")
+@query("order_outputs", "det", f"SELECT {KEY_SQL}, score FROM det ORDER BY score DESC, video_id, frame_index, candidate_index")
 def order_outputs(t):
-    rows = t.det.filter("score >= 0.9").select(*KEY, "score")
+    rows = t.det.select(*KEY, "score")
     return k.order_outputs(rows, F.col("score").desc(), "video_id", "frame_index", "candidate_index")

@@ -12,9 +12,9 @@ BOX = "x_min, y_min, x_max, y_max"
 
 
 @query("scan_detections", "det", f"""
-    SELECT {KEY_SQL}, score FROM det WHERE score >= 0.8 ORDER BY video_id, frame_index, candidate_index LIMIT 3000""")
+    SELECT {KEY_SQL}, score FROM det WHERE score >= 0.8""")
 def scan_detections(t):
-    return rd.first_detections(t.det.select(*KEY, "score"), 0.8, 3000)
+    return rd.first_detections(t.det.select(*KEY, "score"), 0.8)
 
 
 @query("scan_ocr_words", "ocr_words", f"""
@@ -55,9 +55,9 @@ def expand_frame_index(t):
 @query("expand_service_frames", "videos", """
     WITH s AS (SELECT video_id, frame_count, CASE WHEN fps <= 0 THEN 1 ELSE greatest(1, CAST(round_even(fps / 2.0E0, 0) AS INT)) END AS step FROM videos),
          f AS (SELECT video_id, step, unnest(generate_series(0, frame_count - 1, step)) AS frame_index FROM s)
-    SELECT video_id, frame_index FROM f WHERE frame_index // step < 50""")
+    SELECT video_id, frame_index FROM f""")
 def expand_service_frames(t):
-    return rd.expand_service_frames(t.videos, 2.0, 50)
+    return rd.expand_service_frames(t.videos, 2.0)
 
 
 @query("linspace_frames", "videos", """

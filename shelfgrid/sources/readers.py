@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,6 @@ from shelfgrid.functions import values as v
 from shelfgrid.functions.numbers import exact_round
 
 SIDES = ["x_min", "y_min", "x_max", "y_max"]
-HEAD_BYTES = 8192
 BOM = "\ufeff"
 
 # Header spellings of the catalogue columns, in order of preference.
@@ -57,15 +55,17 @@ def first_detections(rows: DataFrame, min_score: float | None = None, max_rows:
 
 
 def sniff_csv(spark: SparkSession, path: str, separators=(";", ",", "\t")) -> tuple[str, str]:
-    """(encoding, separator) from the first bytes of one file: strict UTF-8, else Windows Cyrillic."""
-    content = F.substring("content", 1, HEAD_BYTES)
-    head = bytes(spark.read.format("binaryFile").load(path).orderBy("path").select(content.alias("h")).head()["h"])
-    try:
-        # A multi-byte character may be cut at the end of the head.
-        text = codecs.getincrementaldecoder("utf-8-sig")().decode(head, final=False)
-        encoding = "UTF-8"
-    except UnicodeDecodeError:
-        text, encoding = head.decode("cp1251", errors="replace"), "windows-1251"
+    """(encoding, separator): UTF-8 if every line of the file or folder is valid, else Windows Cyrillic.
+
+    Lines are judged by Spark where they lie; only the first ones, for the separator, reach the driver.
+    """
+    lines = spark.read.csv(path, header=False, sep="\x00", quote="", encoding="ISO-8859-1", schema="line string")
+    # Read byte for byte, a line is valid UTF-8 if its bytes are.
+    raw = F.encode("line", "ISO-8859-1")
+    broken = lines.where(~F.is_valid_utf8(raw.cast("string"))).limit(1).count()
+    encoding = "windows-1251" if broken else "UTF-8"
+    head = "\n".join(r["line"] for r in lines.where("line is not null").limit(20).collect()).encode("latin-1", "replace")
+    text = head.decode("utf-8-sig" if not broken else "cp1251", errors="replace")
     for separator in separators:
         if separator in text:
             return encoding, separator
@@ -233,11 +233,13 @@ def expand_frame_index(videos: DataFrame, target_fps: float = 2.0) -> DataFrame:
     return rows.select("video_id", "frame_index", (F.col("frame_index") / F.col("fps") * F.lit(1000.0)).alias("timestamp_ms"))
 
 
-def expand_service_frames(videos: DataFrame, target_fps: float = 2.0, max_frames: int = 50) -> DataFrame:
-    """Sampling of the service: unknown rate means every frame; stops after ``max_frames`` frames."""
+def expand_service_frames(videos: DataFrame, target_fps: float = 2.0, max_frames: int | None = None) -> DataFrame:
+    """Sampling of the service: unknown rate means every frame; ``max_frames`` keeps the first ones (the service: 50)."""
     unknown = (F.col("fps") <= 0) | F.lit(target_fps <= 0)
     step = F.when(unknown, 1).otherwise(F.greatest(F.lit(1), F.rint(F.col("fps") / F.lit(target_fps or 1.0)).cast("int")))
-    last = F.least(F.col("frame_count") - 1, (F.lit(max_frames) - 1) * step)
+    last = F.col("frame_count") - 1
+    if max_frames is not None:
+        last = F.least(last, (F.lit(max_frames) - 1) * step)
     return videos.filter(F.col("frame_count") > 0).select("video_id", F.explode(F.sequence(F.lit(0), last, step)).alias("frame_index"))
 
 

@@ -24,12 +24,6 @@ def view(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.sql(body)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give expression-heavy jobs all cores when the input arrives in a few splits; larger inputs pass through."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 32) else df
-
-
 def known_views() -> list[str]:
     return sorted(VIEWS)
 

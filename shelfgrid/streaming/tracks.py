@@ -58,7 +58,7 @@ def stream_tracks(detections: DataFrame, cfg: TrackConfig = TrackConfig(), late:
                 box = (int(row.x_min), int(row.y_min), int(row.x_max), int(row.y_max))
                 if frame <= last:
                     out.append((key[0], None, frame, int(row.candidate_index), *box, True))
-                elif len(kept) < cfg.max_per_frame and not any(linker.motion.conflict(box, k) for k, _ in kept):
+                elif (cfg.max_per_frame is None or len(kept) < cfg.max_per_frame) and not any(linker.motion.conflict(box, k) for k, _ in kept):
                     kept.append((box, int(row.candidate_index)))
             if frame <= last:
                 continue
