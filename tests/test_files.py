@@ -76,3 +76,15 @@ def test_legacy_ocr_payload(spark):
     df = spark.createDataFrame([(1, text), (2, "not json")], "tag_id int, payload string")
     got = rd.ocr_blocks(df).collect()
     assert [(r.tag_id, r.text, r.confidence, r.x_min, r.y_max) for r in got] == [(1, "Сыр", 0.9, 1, 20)]
+
+
+def test_encoding_is_judged_on_the_whole_file(spark, tmp_path):
+    from shelfgrid.sources.readers import scan_flexible_csv
+
+    head = "".join(f"name {i};{i}\n" for i in range(8000))
+    (tmp_path / "late.csv").write_bytes(("fullname;code\n" + head + "Молоко Ёлка;99999\n").encode("cp1251"))
+    (tmp_path / "utf.csv").write_bytes(("fullname;code\n" + head + "Молоко Ёлка;99999\n").encode("utf-8-sig"))
+    for name in ("late.csv", "utf.csv"):
+        rows = scan_flexible_csv(spark, str(tmp_path / name))
+        assert rows.columns == ["fullname", "code"] and rows.count() == 8001
+        assert rows.where("code = '99999'").first()["fullname"] == "Молоко Ёлка"
