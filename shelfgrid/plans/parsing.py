@@ -194,7 +194,7 @@ def parse_structured_tags(
     names = product_name_from_lines(lines, sizes, key)
 
     from_words = pair_rub_kop(words, key).select(
-        key, "cents", "score", "source", (F.col("word_seq") * 100_000 + F.col("kop_seq") + 1).cast("long").alias("position")
+        key, "cents", "score", "source", (F.col("word_seq").cast("long") * 100_000 + F.col("kop_seq") + 1).cast("long").alias("position")
     )
     from_text = full.select(key, F.posexplode(x.text_price_candidates(F.col("full_text"))).alias("p", "c")).select(
         key, "c.cents", "c.score", "c.source", (F.col("p") + F.lit(1 << 40)).cast("long").alias("position")

@@ -42,6 +42,8 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", bom: bool = False, parti
     """CSV part files with a header; ``bom`` marks the first header cell of each file."""
     if bom:
         df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
+    if partition_by:  # rows of a value together, large values split: few files each, no task with all of one
+        df = df.hint("rebalance", partition_by)
     writer = df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
     # Backslashes are ordinary characters in these files; quotes are doubled.
     writer = writer.option("escape", '"').option("emptyValue", "")

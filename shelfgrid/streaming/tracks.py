@@ -25,7 +25,8 @@ def stream_tracks(detections: DataFrame, cfg: TrackConfig = TrackConfig(), late:
     """Boxes with track ids as frames arrive; rows older than the video's last frame come out marked late.
 
     Fragments are not merged: that needs tracks which have not been seen yet. All boxes of a frame must
-    arrive in one micro-batch. State is the last three boxes of each open track.
+    arrive in one micro-batch. State is the last three boxes of each open track. A video that was idle
+    keeps its next id only: its frames may begin anew, its track ids go on.
     """
     b = g.box()
     rows = event_time(detections.filter(track_gate(b, F.col("score"), cfg)), shift_us=1)
@@ -37,7 +38,7 @@ def stream_tracks(detections: DataFrame, cfg: TrackConfig = TrackConfig(), late:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            state.update((-1, state.get[1], "[]"))  # tracks end; the next id stays, so ids are never given twice
             return
         linker, last = FrameLinker(cfg), -1
         if state.exists:
