@@ -206,13 +206,14 @@ def extract_barcode(t):
 
 
 LET = "A-Za-zА-Яа-яЁё"
-PRODUCT = "['вино','сыр','молоко','йогурт','кефир','сок','чай','кофе','напиток','пиво','вода','масло','шоколад','конфеты','хлеб','батон','pure','haut','marin','altitude','jardin','charmes','sauvignon','merlot','blanc','блан','социньон','совиньон']"
+PRODUCT = str(list(x.PRODUCT_WORDS))
+SERVICE = "|".join(x.SERVICE_WORDS)
 HINT = f"""
     lines AS (SELECT {K}, unnest(string_split(raw_text, chr(10))) AS raw, generate_subscripts(string_split(raw_text, chr(10)), 1) AS pos FROM tag_text),
     trimmed AS (SELECT {K}, pos, regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '^[ |\\[\\]{{}}()]+|[ |\\[\\]{{}}()]+$', '', 'g') AS line FROM lines),
-    low AS (SELECT *, translate(lower(line), 'oil|', '01' || '11') AS n FROM trimmed WHERE length(line) >= 4 AND regexp_matches(line, '[{LET}]')),
+    low AS (SELECT *, translate(lower(line), 'ol|', '011') AS lower_digits FROM trimmed WHERE length(line) >= 4 AND regexp_matches(line, '[{LET}]')),
     kept AS (SELECT {K}, pos, trim(regexp_replace(regexp_replace(line, '[^0-9{LET} .,%/()-]+', ' ', 'g'), ' +', ' ', 'g')) AS line FROM low
-             WHERE NOT regexp_matches(lower(line), 'без карты|по карте|цена|руб|коп|скид|штрих|qr|код|id|sku|печати|дата')
+             WHERE NOT regexp_matches(lower(line), '{SERVICE}')
                AND NOT regexp_matches(lower_digits, '[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{2,4}}') AND NOT regexp_matches(lower_digits, '[0-9]{{1,2}}\\s*%')
                AND length(regexp_replace(lower_digits, '[^0-9]', '', 'g')) < 8),
     words AS (SELECT *, regexp_extract_all(line, '[{LET}]{{3,}}') AS ws, len(list_filter({PRODUCT}, lambda p: contains(lower(line), p))) AS pw FROM kept),
@@ -223,9 +224,7 @@ HINT = f"""
                  AND NOT (len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Za-z]+$'))) >= 4 AND pw = 0)),
     firsts AS (SELECT {K}, line, max(score) AS score, min(pos) AS pos FROM scored GROUP BY {K}, line),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY score DESC, pos) AS rk FROM firsts),
-    hint AS (SELECT {K}, left(string_agg(line, ' ' ORDER BY rk), 240) AS product_name FROM ranked WHERE rk <= 3 GROUP BY {K})""".replace(
-    "translate(lower(line), 'oil|', '01' || '11') AS n", "translate(lower(line), 'ol|', '011') AS lower_digits"
-)
+    hint AS (SELECT {K}, left(string_agg(line, ' ' ORDER BY rk), 240) AS product_name FROM ranked WHERE rk <= 3 GROUP BY {K})"""
 
 
 @query("product_hint", "tag_text", f"""
