@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgrid.llm.common import WindowHash, dropped, text_or_empty, written
+from shelfgrid.llm.common import WindowHash, dropped, released, text_or_empty, written
 
 #: A perfect difference cover. Every difference modulo PERIOD is that of two members.
 PERIOD = 133
@@ -142,6 +142,8 @@ def _sorted_bucket(stored: str):
             return pa.Table.from_batches([_batch(rows, _FOUND)])
         suffixes = [np.frombuffer(r["a"], stored) for r in rows]
         all_, told = np.concatenate(suffixes), np.unique(np.concatenate([np.frombuffer(r["c"], stored) for r in rows]))
+        if not len(all_):
+            return pa.Table.from_batches([_batch([], _FOUND)])
         order = np.argsort(all_, kind="stable")
         s = all_[order]
         equal = s[1:] == s[:-1]
@@ -181,7 +183,9 @@ def _answers(group: pa.Table) -> pa.Table:
 def _repeated(sent: DataFrame, stored: str, name: str) -> DataFrame:
     found = sent.groupBy("kind", "bucket").applyInArrow(_sorted_bucket(stored), _FOUND)
     answers = found.groupBy("uid").applyInArrow(_answers, "key binary, runs binary")
-    return written(answers.groupBy("key").agg(F.collect_set("runs").alias("runs")), name)
+    out = written(answers.groupBy("key").agg(F.collect_set("runs").alias("runs")), name)
+    released(sent.sparkSession)
+    return out
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
@@ -232,6 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     shared = _repeated(keyed.select("key", F.col("_data").alias("data")).mapInArrow(sampled, _SENT), "<u4", "cover-ranks")
     texts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("_data").alias("data"))
     texts = written(texts.join(shared, "key"), "repeat-candidates")
+    released(spark)
 
     def candidates(batch, i):
         return batch.column("copies")[i].as_py(), _read_runs(batch.column("runs")[i].as_py())
