@@ -149,8 +149,8 @@ def fit_characters(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.sum("n").cast("long").alias("n")).collect()}
 
 
-def fit_words(labelled: DataFrame, characters: dict[str, int], confidence: float = 2.0, most: int = 20_000) -> tuple[dict[str, float], float]:
-    """Evidence of restored words and of word beginnings, from (text, toxic) rows, and the prior log odds.
+def fit_words(labelled: DataFrame, characters: dict[str, int], confidence: float = 2.0, most: int = 20_000) -> tuple[dict[str, tuple[int, int]], float]:
+    """(toxic, clean) counts of telling restored words and word beginnings, from (text, toxic) rows, and the prior log odds.
 
     A feature's evidence is its smoothed log odds less ``confidence`` standard errors, so rare features say nothing. The
     ``most`` strongest are kept: the model's size is bounded, the counts behind it cover all labelled rows.
@@ -175,8 +175,48 @@ def fit_words(labelled: DataFrame, characters: dict[str, int], confidence: float
     prior = math.log(toxic / clean)
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - prior
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rated = counts.where("feature != '' and toxic > 2").select("feature", "clean", "toxic", (odds - confidence * error).alias("e")).where("e > 0.3 and (feature not like '%*' or toxic >= 9 * clean)")
-    return {r["feature"]: r["e"] for r in rated.orderBy(F.desc("e"), "feature").limit(most).collect()}, prior
+    rated = counts.where("feature != '' and toxic > 2").select("feature", "clean", "toxic", (odds - confidence * error).alias("e"))
+    rated = rated.where(F.col("e") > _LEAST).orderBy(F.desc("e"), "feature").limit(most)
+    return {r["feature"]: (r["toxic"], r["clean"]) for r in rated.collect()}, prior
+
+
+_LEAST, _STEP, _CELLS = 0.3, 0.5, 24
+
+
+def _reading(found: set[str], counts: dict[str, tuple[int, int]], prior: float, confidence: float = 2.0, label: int | None = None) -> tuple[float, float]:
+    """Evidence of the two strongest words and of the strongest word beginning; a labelled text does not count for itself."""
+    words, beginnings = [], [0.0]
+    for f in found & counts.keys():
+        toxic, clean = counts[f]
+        if label is not None:
+            toxic, clean = toxic - label, clean - (1 - label)
+        e = math.log((toxic + 0.5) / (clean + 0.5)) - prior - confidence * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        if e > _LEAST:
+            if f[-1] != "*":
+                words.append(e)
+            elif toxic >= 9 * clean:
+                beginnings.append(e)
+    return sum(sorted(words, reverse=True)[:2]), max(beginnings)
+
+
+def _cell(reading: tuple[float, float]) -> int:
+    return min(int(reading[0] / _STEP), _CELLS - 1) * _CELLS + min(int(reading[1] / _STEP), _CELLS - 1)
+
+
+def calibrate(labelled: DataFrame, characters: dict[str, int], counts: dict[str, tuple[int, int]], prior: float) -> dict[int, tuple[int, int]]:
+    """How many labelled texts of each kind have each pair of rounded readings (at most ``_CELLS`` squared)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = CharModel(characters), {}
+        for batch in batches:
+            seen: Counter = Counter()
+            for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[_cell(_reading(_features(clear_words(value, model, known)), counts, prior, label=label)), label] += 1
+            rows = [(c, n * (1 - label), n * label) for (c, label), n in seen.items()]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["cell", "clean", "toxic"])
+
+    sums = labelled.mapInArrow(read, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return {r["cell"]: (r["toxic"], r["clean"]) for r in sums.collect()}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, threshold: float = 0.7, text: str = "text") -> DataFrame:
@@ -185,12 +225,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | Non
     ``labels`` has ``text`` and ``toxic`` and is what the score learns from. Every text is restored first: tokens with
     digits or marks among letters, long runs of a letter and spaced-out letters become lattices, decoded by Viterbi
     under a character model of ``all_docs`` (``docs`` by default). The log odds of the restored text are the prior plus the evidence of its
-    two strongest words or of its strongest word beginning, whichever is more. Null and empty texts get the prior's score, repeated rows the same score, and
+    two strongest words or of its strongest word beginning, whichever is more; this guess counts as two texts beside the
+    labelled texts with the same readings, of which the score is the toxic share. Null and empty texts get the prior's score, repeated rows the same score, and
     an empty table no rows; without labels every score is a half. Columns named like a new one are replaced.
     """
     characters = fit_characters(docs if all_docs is None else all_docs, text)
     labelled = labels.where("toxic in (0, 1)").select(text_or_empty("text").alias("t"), F.col("toxic").cast("int"))
-    evidence, prior = fit_words(labelled, characters)
+    counts, prior = fit_words(labelled, characters)
+    cells = calibrate(labelled, characters, counts, prior)
     docs = docs.drop("score", "predicted")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +240,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | Non
         for batch in batches:
             scores = []
             for value in batch.column(text).to_pylist():
-                found = _features(clear_words(value or "", model, known)) & evidence.keys()
-                words = sorted((evidence[f] for f in found if f[-1] != "*"), reverse=True)
-                beginnings = max((evidence[f] for f in found if f[-1] == "*"), default=0.0)
-                logit = prior + max(sum(words[:2]), beginnings)  # the two overlap, so they are not added up
-                scores.append(1 / (1 + math.exp(-max(min(logit, 30.0), -30.0))))
+                reading = _reading(_features(clear_words(value or "", model, known)), counts, prior)
+                logit = prior + max(reading)  # the two overlap, so they are not added up
+                guess = 1 / (1 + math.exp(-max(min(logit, 30.0), -30.0)))
+                toxic, clean = cells.get(_cell(reading), (0, 0))
+                scores.append((toxic + 2 * guess) / (toxic + clean + 2))
             columns = [*batch.columns, pa.array(scores, pa.float64())]
             yield pa.record_batch(columns, names=[*batch.schema.names, "score"])
 
