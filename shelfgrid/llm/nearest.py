@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 
 from shelfgrid.llm.common import written
 
-_TASK = "table int, cell int, part int, queries int, query boolean, id long, places binary, bound double, vector binary"
+_TASK = "table int, cell int, part int, queries int, query boolean, id long, places binary, near double, bound double, vector binary"
 _HITS = "query_id long, rep long, score double"
+_LEAST = 0.05  # neighbours below this cosine can be in any bucket: all are visited
 _CDF = np.vectorize(lambda z: 0.5 * (1 + erf(z / sqrt(2))))
 
 
@@ -36,11 +37,12 @@ class Hashes:
         cells = np.floor((places + self.shifts.reshape(self.tables, self.functions)) / self.width).astype(np.int64)
         return np.clip(cells, -self.most, self.most) + self.most
 
-    def chances(self, places: np.ndarray, table: int, near: float) -> np.ndarray:
-        """(rows, functions, cells): chance that a neighbour of cosine ``near`` lies in each cell."""
+    def chances(self, places: np.ndarray, table: int, near: np.ndarray) -> np.ndarray:
+        """(rows, functions, cells): chance that a neighbour of the row's cosine ``near`` lies in each cell."""
         edges = np.arange(-self.most, self.most + 2) * self.width
         shift = self.shifts.reshape(self.tables, self.functions)[table]
-        spread = sqrt(max(1 - near * near, 1e-6))
+        near = near[:, None, None]
+        spread = np.sqrt(np.maximum(1 - near * near, 1e-6))
         below = _CDF((edges[None, None, :] - shift[None, :, None] - near * places[:, :, None]) / spread)
         below[:, :, 0], below[:, :, -1] = 0, 1
         return np.diff(below, axis=2)
@@ -85,11 +87,14 @@ def nearest(
     (the first in order of their vector). An empty table gives no rows.
 
     Equal vectors are searched as one and listed by their ``k + 1`` smallest ids, which is all that can be returned. Each
-    table hashes by ``functions`` projections into cells of ``width``. How near a neighbour is, is estimated from ``sample``
-    rows (of smallest hash; the only thing fitted, and the seed of no result but recall); with it, a query visits
-    perturbed buckets of a table by falling chance to hold the neighbour, until their chances together make the share that
-    brings all tables together to ``success``. Every row is indexed. Candidates of all tables are merged and ranked by
-    exact inner products.
+    table hashes by ``functions`` projections into cells of ``width``. How near its ``k``-th neighbour is, is guessed for each
+    query from its cosines with ``sample`` rows (of smallest hash); with it, a query visits perturbed buckets of a table by
+    falling chance to hold that neighbour, until their chances together make the share that brings all tables together to
+    ``success``. Every row is indexed. Candidates of all tables are merged and ranked by exact inner products.
+
+    The true ``k``-th neighbour is at least as near as the ``k``-th found. Queries that found it farther off than guessed
+    search once more with the cosine found, and those that found fewer than ``k`` search all rows; so ``success`` holds
+    whatever the guess was, and the guess decides the work only.
 
     A task is a block of at most about ``block`` candidates with neighbouring buckets against a block of queries, so a
     bucket with a third of all rows is many tasks.
@@ -109,21 +114,29 @@ def nearest(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     facts = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).first()
     there, longest = facts["n"], facts["longest"]
-    queries = rows.where("q").select("id", "v")
-    n_queries = queries.count()
-
-    seen = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
-    base, probe = _unit(seen, longest, False), _unit(seen[:100], longest, True)
-    cosines = np.einsum("ij,kj->ik", probe, base)
-    cosines[np.arange(len(probe)), np.arange(len(probe))] = -1
-    ordered = np.sort(cosines.ravel())[::-1]
-    near = float(np.clip(ordered[min(len(ordered) - 1, int(len(ordered) * k / max(there, 1)))], 0.05, 0.999))
+    seen = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    seen_ids, base = np.array([r["id"] for r in seen], np.int64), _unit(np.array([r["v"] for r in seen]).reshape(-1, dimension), longest, False)
+    expected = len(seen) * k / max(there, 1)  # neighbours in the sample; some more make the guess a careful one
+    place = min(len(seen) - 1, int(expected + 2 * sqrt(expected)) + 1) if seen else 0
     share = 1 - (1 - success) ** (1 / tables)
     hashes = Hashes(dimension, tables, functions, width, seed)
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         return np.array(column.to_pylist(), float).reshape(-1, dimension)
 
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = np.array(batch.column("id").to_pylist(), np.int64), matrix(batch.column("v"))
+            near = np.empty(len(ids))
+            for at in range(0, len(ids), 512):
+                cosines = _unit(x[at:at + 512], longest, True) @ base.T
+                cosines[ids[at:at + 512, None] == seen_ids] = -1
+                near[at:at + 512] = -np.partition(-cosines, place, axis=1)[:, place]
+            columns = [batch.column("id"), batch.column("v"), pa.array(np.minimum(near, 0.999))]
+            yield pa.record_batch(columns, names=["id", "v", "near"])
+
+    queries = written(rows.where("q").select("id", "v").mapInArrow(guess, "id long, v array<double>, near double"), "vector-queries")
+
     def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = hashes.cells(hashes.places(_unit(matrix(batch.column("v")), longest, False)))[:, :, 0]
@@ -132,14 +145,14 @@ def nearest(
 
     counts = distinct.select("v").mapInArrow(cell_counts, "t int, c int, n long").groupBy("t", "c").agg(F.sum("n").alias("n")).collect()
     parts = {(r["t"], r["c"]): -(-r["n"] // block) for r in counts}
-    query_blocks = max(1, -(-n_queries // block))
 
-    def spread(role: bool):
+    def spread(role: bool, query_blocks: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     ids, x = np.array(part.column("id").to_pylist(), np.int64), matrix(part.column("v"))
+                    near = np.array(part.column("near").to_pylist(), float) if role else None
                     places = hashes.places(_unit(x, longest, role))
                     cells = hashes.cells(places)
                     mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
@@ -147,7 +160,7 @@ def nearest(
                     for t in range(tables):
                         if role:
                             chances = hashes.chances(places[:, t], t, near)
-                            bounds = hashes.bounds(chances, share) if there > k + 1 else np.zeros(len(ids))
+                            bounds = np.where(near > _LEAST, hashes.bounds(chances, share), 0) if there > k + 1 else np.zeros(len(ids))
                             best = chances[:, 1:].max(axis=2).prod(axis=1)
                         for i in range(len(ids)):
                             if role:
@@ -157,8 +170,8 @@ def nearest(
                                 stored = cells[i, t].astype("<i8").tobytes()
                                 c = int(cells[i, t, 0])
                                 to = [(c, mix[i] % parts[t, c], b) for b in range(query_blocks)]
-                            out += [(t, int(c), int(p), int(b), role, int(ids[i]), stored, float(bounds[i]) if role else None, x[i].tobytes()) for c, p, b in to]
-                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
+                            out += [(t, int(c), int(p), int(b), role, int(ids[i]), stored, float(near[i]) if role else None, float(bounds[i]) if role else None, x[i].tobytes()) for c, p, b in to]
+                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.binary())
                     yield pa.record_batch([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in _TASK.split(", ")])
 
         return work
@@ -167,7 +180,7 @@ def nearest(
         role = np.array(group.column("query").to_pylist(), bool)
         ids = np.array(group.column("id").to_pylist(), np.int64)
         x = np.frombuffer(b"".join(group.column("vector").to_pylist()), float).reshape(-1, dimension)
-        stored, bounds = group.column("places").to_pylist(), group.column("bound").to_pylist()
+        stored, bounds, near = (group.column(n).to_pylist() for n in ("places", "bound", "near"))
         table = group.column("table")[0].as_py()
         q, c = np.flatnonzero(role), np.flatnonzero(~role)
         out: list[tuple[np.ndarray, ...]] = []
@@ -178,7 +191,7 @@ def nearest(
             for at in range(0, len(q), 256):
                 own = q[at:at + 256]
                 places = np.frombuffer(b"".join(stored[i] for i in own), float).reshape(-1, functions)
-                chances = hashes.chances(places, table, near)
+                chances = hashes.chances(places, table, np.array([near[i] for i in own]))
                 visit = np.ones((len(own), len(kinds)))
                 for f in range(functions):
                     visit *= chances[:, f, kinds[:, f]]
@@ -196,10 +209,26 @@ def nearest(
         columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "rep": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(float))})
 
-    tasks = distinct.mapInArrow(spread(False), _TASK).unionByName(queries.mapInArrow(spread(True), _TASK))
-    hits = tasks.groupBy("table", "cell", "part", "queries").applyInArrow(search, _HITS).distinct()
-    better = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    hits = hits.withColumn("n", F.row_number().over(better)).where(F.col("n") <= k + 1).drop("n")
-    found = hits.join(members, "rep").where("vec_id != query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(queries: DataFrame, n_queries: int) -> DataFrame:
+        blocks = max(1, -(-n_queries // block))
+        tasks = distinct.mapInArrow(spread(False, blocks), _TASK).unionByName(queries.mapInArrow(spread(True, blocks), _TASK))
+        return tasks.groupBy("table", "cell", "part", "queries").applyInArrow(search, _HITS)
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        better = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+        hits = hits.distinct().withColumn("n", F.row_number().over(better)).where(F.col("n") <= k + 1).drop("n")
+        found = hits.join(members, "rep").where("vec_id != query_id")
+        final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    hits = searched(queries, queries.count())
+    if there <= k + 1:
+        return ranked(hits)
+    hits = written(hits, "vector-hits")
+    last = ranked(hits).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") / F.lit(longest)).alias("last"))
+    cosine = F.coalesce(F.col("last") / norm, F.lit(-1.0))
+    again = queries.where(F.col("near") > _LEAST).join(last, "id", "left").where(cosine < F.col("near"))
+    again = written(again.select("id", "v", cosine.alias("near")), "vector-queries-again")
+    if n_again := again.count():
+        hits = hits.unionByName(searched(again, n_again))
+    return ranked(hits)

@@ -151,3 +151,24 @@ def test_nearest(spark):
     few = nearest(vectors.where("vec_id < 5"), F.col("vec_id") == 0, k=20)
     assert few.count() == 4
     assert nearest(vectors.where("vec_id > 399"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.1, 1 / 3])
+def test_nearest_outside_a_cluster(spark, share):
+    rng = np.random.default_rng(5)
+    n, d = 4000, 32
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    inside = rng.random(n) < share
+    x[inside] = x[0] + 0.01 * rng.normal(size=(inside.sum(), d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    out = nearest(vectors, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    found = {q: set(own.vec_id) for q, own in out.groupby("query_id")}
+    recall = {False: [], True: []}
+    for q in range(0, n, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(found[q]) == 20
+        recall[bool(inside[q])].append(len(found[q] & set(np.argsort(-score)[:20])) / 20)
+    assert np.mean(recall[False]) > 0.9 and np.mean(recall[True]) > 0.9
