@@ -21,10 +21,13 @@ LEET = {
 #: Marks that may be slipped between letters.
 FILLERS = ".-_~'`"
 _EDGE = "".join(c for c in "\"'`.,;:!?()[]{}<>|*-_~#%&=/\\")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_](?:[ .\-_*]{1,2})){3,}[^\W_](?!\S)")
+#: Two or more written characters with blanks between them, each with a mark behind it or none.
+_SPACED = re.compile(r"(?<!\S)(?:\S[.\-_*~'`,]?\s+)+\S[.\-_*~'`,]?(?!\S)")
+_BLANK = re.compile(r"\s+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _ODD = re.compile(r"[0-9@$!|+€(*.\-_~'`]")
-_TAIL = re.compile(r"([^\w])\1\1+$")
+#: Memoised tokens are at most so long; longer ones are decoded each time.
+_REMEMBERED = 200
 
 
 class CharModel:
@@ -57,10 +60,20 @@ class CharModel:
 
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal written characters, the letters it may restore to and the channel's cost of each."""
+    """For each run of equal written characters, the letters it may restore to and the channel's cost of each.
+
+    A blank among the letters is the boundary of two words. Gaps and marks may stand for one or for nothing, gaps wider
+    than the narrowest one of the token rather for one.
+    """
     out, at = [], 0
+    narrow = min((len(m.group()) for m in _BLANK.finditer(token)), default=0)
     while at < len(token):
         char, end = token[at], at + 1
+        if char.isspace():
+            end = _BLANK.match(token, at).end()
+            out.append([("", 0.2), (" ", 1.6)] if end - at == narrow else [("", 1.6), (" ", 0.2)])
+            at = end
+            continue
         while end < len(token) and token[end] == char:
             end += 1
         n = end - at
@@ -69,7 +82,7 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         else:
             options = [(letter * k, 1.0) for letter in LEET.get(char, "") for k in {1, min(n, 2)}]
             if char in FILLERS:
-                options.append(("", 1.5))
+                options += [("", 1.5), (" ", 2.0)]
             options.append((char * n, 5.0 * n))
         out.append(options)
         at = end
@@ -77,47 +90,79 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest clear form of a written token: Viterbi over the lattice, a state being the last two letters."""
-    states = {"^^": (0.0, "")}
+    """The likeliest clear form of a written token, its words parted by blanks.
+
+    Viterbi over the lattice, a state being the last two letters. A path is a chain of links, so the time is linear in
+    the token's length.
+    """
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     for options in _lattice(token):
-        following: dict[str, tuple[float, str]] = {}
+        following: dict[str, tuple[float, tuple | None]] = {}
         for state, (cost, said) in states.items():
             for letters, paid in options:
                 total, last = cost + paid, state
                 for letter in letters:
-                    total += model.cost(last + letter)
-                    last = last[1] + letter
-                if last not in following or (total, said + letters) < following[last]:
-                    following[last] = (total, said + letters)
+                    if letter != " ":
+                        total += model.cost(last + letter)
+                        last = last[1] + letter
+                    elif last != "^^":
+                        total += model.cost(last + "$")
+                        last = "^^"
+                if last not in following or total < following[last][0]:
+                    following[last] = (total, (letters, said) if letters else said)
         states = following
-    return min((cost + model.cost(state + "$"), said) for state, (cost, said) in states.items())[1]
+    said = min(((cost + (model.cost(state + "$") if state != "^^" else 0), said) for state, (cost, said) in states.items()), key=lambda x: x[0])[1]
+    parts = []
+    while said is not None:
+        letters, said = said
+        parts.append(letters)
+    return " ".join("".join(reversed(parts)).split())
+
+
+def _core(word: str) -> str:
+    """A written word without the marks around it and without one that is repeated at its end."""
+    if word.isalpha():
+        return word
+    last = word[-1]
+    if not (last.isalnum() or last == "_") and len(word) - len(cut := word.rstrip(last)) > 2:
+        word = cut
+    return word.strip(_EDGE)
 
 
 def clear_words(text: str, model: CharModel, known: dict[str, str]) -> set[str]:
-    """The distinct restored words of a text. Words with nothing odd in them stay as they are."""
+    """The distinct restored words of a text. Words with nothing odd in them stay as they are.
+
+    Spaced-out characters are read with word boundaries where the model sees them, and also as one word and without the
+    first or last of them.
+    """
     text = text.lower()
     words = set(text.split())
-    out = set()
-    odd = [m.group().translate(_NO_GAPS) for m in _SPACED.finditer(text)]
+    out, odd = set(), []
+    for found in _SPACED.finditer(text):
+        spaced = found.group()
+        if any(c.isalpha() for c in spaced):
+            inner = spaced.strip(_EDGE + " \t\r\n")
+            parts = _BLANK.split(inner)
+            # a one-letter word of the sentence may stand before or behind the spaced-out ones
+            odd += [spaced, inner, "".join(parts), *((inner[len(parts[0]):].lstrip(), inner[:-len(parts[-1])].rstrip()) if len(parts) > 2 else ())]
     for word in words:
-        core = _TAIL.sub("", word).strip(_EDGE) if not word.isalpha() else word
+        core = _core(word)
         if not core:
             continue
-        if _ODD.search(core) and any(c.isalpha() for c in core) and len(core) < 40 or _RUN.search(core):
+        if _ODD.search(core) and any(c.isalpha() for c in core) or _RUN.search(core):
             odd.append(core)
         out.add(core)
     for core in odd:
         if (found := known.get(core)) is None:
-            if len(known) > 200_000:
-                known.clear()
-            found = known[core] = decode(core[:200], model) if len(core) <= 200 else core
-        out.add(found)
+            found = decode(core, model)
+            if len(core) <= _REMEMBERED:
+                if len(known) > 200_000:
+                    known.clear()
+                known[core] = found
+        out.update(found.split())
     return out
 
 
-_NO_GAPS = str.maketrans("", "", " .-_*")
-
-
 def _features(words: set[str]) -> set[str]:
     return words | {w[:4] + "*" for w in words if len(w) > 4}
 
@@ -223,7 +268,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | Non
     """``docs`` with ``score`` (0 to 1, higher: more likely toxic) and ``predicted`` (1 from ``threshold`` on).
 
     ``labels`` has ``text`` and ``toxic`` and is what the score learns from. Every text is restored first: tokens with
-    digits or marks among letters, long runs of a letter and spaced-out letters become lattices, decoded by Viterbi
+    digits or marks among letters, long runs of a letter and spaced-out characters become lattices of letters and word
+    boundaries, decoded whole by Viterbi
     under a character model of ``all_docs`` (``docs`` by default). The log odds of the restored text are the prior plus the evidence of its
     two strongest words or of its strongest word beginning, whichever is more; this guess counts as two texts beside the
     labelled texts with the same readings, of which the score is the toxic share. Null and empty texts get the prior's score, repeated rows the same score, and

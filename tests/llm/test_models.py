@@ -31,6 +31,24 @@ def test_restored_words():
     assert clear_words("", model, {}) == set()
 
 
+def test_spaced_and_long_words_are_restored():
+    counts = {}
+    for word in ["idiot"] * 50 + ["stupid"] * 50 + ["ass", "hello", "good", "person", "you", "are"] * 20:
+        padded = f"^^{word}$"
+        for i in range(len(padded) - 2):
+            counts[padded[i:i + 3]] = counts.get(padded[i:i + 3], 0) + 1
+    model = CharModel(counts)
+    cases = [
+        ("you are a s t u p i d person", "stupid"), ("s t u p i d i d i o t", "stupid idiot"), ("s t u p i d  i d i o t", "stupid idiot"),
+        ("$ t u p 1 d", "stupid"), ("s t u p ! d", "stupid"), ("i d ! o t", "idiot"), ("you a s s", "ass"), ("stupid-idiot", "stupid idiot"),
+        ("-".join("stupid").replace("-", "-" * 8), "stupid"), ("st" + "u" * 250 + "pid", "stupid"), ("s t u p i d i d i o t " * 30, "stupid idiot"),
+    ]
+    for written, clear in cases:
+        assert set(clear.split()) <= clear_words(f"hello {written} good", model, {}), written
+    assert "1" in clear_words("1 2 3", model, {}) and clear_words("a", model, {}) == {"a"}
+    assert len(clear_words("s" + "-" * 100_000 + "t " + "a " * 50_000, model, {})) < 20
+
+
 def test_scores_of_awkward_rows(spark):
     bad = [(f"you are a nasty person number {i}", 1) for i in range(40)] + [(f"a fine day with number {i}", 0) for i in range(80)]
     rows = [(1, None, "x"), (2, "", "x"), (3, "NASTY nasty n4sty", "x"), (4, "fine day", "x"), (4, "fine day", "x"), (5, "long " * 50_000, "x")]
