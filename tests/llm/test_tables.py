@@ -64,6 +64,15 @@ def test_rank_file_gives_the_same_ids():
     assert one == two
 
 
+@pytest.mark.parametrize("char", [" ", "\n"])
+def test_texts_that_tiktoken_refuses_are_packed(spark, char):
+    vocabulary, text = public_tokenizers.path("byte_bpe_50k.tiktoken"), "one" + char * 1_500_000 + "two"
+    ids = [*token_ids(public_tokenizers.path("byte_bpe_50k.json"))([text])[0], 0]
+    out = pack(spark.createDataFrame([(1, text), (2, "short")], SCHEMA), vocabulary).where("doc_id = 1").orderBy("start").collect()
+    pieces = [np.array(ids[at:at + 1024], "<u4") for at in range(0, len(ids), 1024)]
+    assert [(r["start"], r["length"], r["ids_crc32"]) for r in out] == [(1024 * i, len(p), zlib.crc32(p.tobytes())) for i, p in enumerate(pieces)]
+
+
 def test_packing_round_trip(spark):
     rows = corpus()
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
