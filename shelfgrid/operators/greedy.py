@@ -409,12 +409,13 @@ class _MergeFold:
 
 
 def merge_candidates(
-    candidates: DataFrame, min_iou: float = 0.45, min_share: float = 0.85, limit: int | None = 80
+    candidates: DataFrame, min_iou: float = 0.45, min_share: float = 0.85, limit: int | None = None
 ) -> DataFrame:
     """Merge overlapping candidates of a frame, best first. Missing evidence columns count as absent.
 
     A merged box is the union of its parts, so pieces of a frame without a common pixel column never
-    merge; each piece is one ordered stream. The cap per frame is applied over the pieces afterwards.
+    merge; each piece is one ordered stream. All merged boxes are returned; a ``limit`` per frame (the service has 80) is
+    applied over the pieces afterwards.
     """
     types = dict(part.strip().split(" ") for part in MERGE_SCHEMA.split(","))
 

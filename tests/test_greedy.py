@@ -107,6 +107,14 @@ def test_merge_candidates(spark):
     assert got == want
 
 
+def test_merge_candidates_keeps_crowded_frames_whole(spark):
+    first = boxes(4)[0]
+    rows = [(*first[:3], i, "x", 0.5, 20 * i, 10, 20 * i + 10, 20, *first[10:]) for i in range(100)]
+    crowded = spark.createDataFrame(rows, SCHEMA)
+    assert gr.merge_candidates(crowded).count() == 100
+    assert gr.merge_candidates(crowded, limit=80).count() == 80
+
+
 def test_tracks_do_not_depend_on_cutting(spark):
     rows = boxes(5, frames=12, per_frame=6, spread=1500)
     df = spark.createDataFrame(rows, SCHEMA)
