@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[\s ]+")
 #: Elements whose content is not markup, elements without content, elements that open a new block.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -21,7 +21,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Never main text, by element and by a word of class, id or role.
+#: Never main text, by element; and what a word of class, id or role says, if it is all the name (else see ``_noise``).
 DROPPED = RAW | frozenset(
     "head nav footer header aside form button select option input template svg math canvas object audio video dialog menu label".split()
 )
@@ -31,27 +31,48 @@ NOISE = frozenset(
     "disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search form pagination pager "
     "toolbar hidden dialog skip".split()
 )
+#: A name that begins so says what an element has or lacks, not what it is.
+_ABOUT = frozenset("has have with without no not is hide show".split())
 _ROOTS = frozenset("html body main article".split())
 _CLOSES_P = BLOCK - frozenset("html body".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "noise", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, noise: int = 0):
+        self.tag, self.parent, self.dropped, self.noise = tag, parent, dropped, noise
         self.children: list = []  # nodes and texts in page order
         self.score = 0.0
         self.chars = self.linked = 0
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _noise(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is never main text, by its kind or because it is hidden; and how far its names speak against it.
+
+    2: an attribute is one word of ``NOISE`` and nothing else. 1: one is among its words or parts of words, which also
+    wrappers of the whole page have.
+    """
     if tag in DROPPED:
-        return True
-    if not attributes.strip() or tag in _ROOTS:
-        return False
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & NOISE) or bool(_HIDDEN.search(attributes))
+        return True, 0
+    if not attributes.strip():
+        return False, 0
+    noise = 0
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if tag in _ROOTS:
+            continue
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and _NONE.search(value):
+            return True, 0
+        if name in ("class", "id", "role"):
+            words = value.split()
+            if len(words) == 1 and words[0] in NOISE:
+                noise = 2
+            for word in words:
+                parts = re.split(r"[_\-]+", word)
+                if parts[0] not in _ABOUT and not NOISE.isdisjoint(parts):
+                    noise = max(noise, 1)
+    return False, noise
 
 
 def parse(html: str) -> Node:
@@ -84,7 +105,7 @@ def parse(html: str) -> Node:
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             node = _closed(node, "dd" if tag == "dt" else "dt" if tag == "dd" else tag)
             node = _closed(node, tag)
-        child = Node(tag, node, _is_noise(tag, found[3]))
+        child = Node(tag, node, *_noise(tag, found[3]))
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -149,15 +170,76 @@ def main_text(html: str | None) -> str:
     Each block gives its parent a point, one for each comma and up to three for its length, half of them to the
     grandparent and a third, a quarter, ... to those above. A container's points are discounted by the share of its text in
     links. Siblings stay if they have a fifth of the best points, or are paragraphs of over 80 characters with few links.
+
+    Elements named like navigation, comments and so on go first, but not those that hold most of the page's points under a
+    name of which that word is only a part. If nothing is left, the outermost of them come back, then all.
     """
     if not html:
         return ""
     root = parse(html)
+    named = _named(root)
+    if named:
+        _judge(root, named)
+    found = _best_text(root)
+    for back in (lambda: [n for n in _named(root) if n.dropped], lambda: named):
+        if not found and (nodes := back()):
+            for node in nodes:
+                node.dropped = False
+            found = _best_text(root)
+    return found
+
+
+def _named(root: Node) -> list[Node]:
+    """Elements with a name that speaks against them, in page order, but for those inside of dropped ones."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.noise:
+            out.append(node)
+        if not node.dropped:
+            stack += [c for c in reversed(node.children) if isinstance(c, Node) and (c.noise or not c.dropped)]
+    return out
+
+
+def _judge(root: Node, named: list[Node]) -> None:
+    """Drop elements by name; those of which only a part of the name tells stay if most of the page's points are theirs."""
+    for node in named:
+        node.dropped = node.noise == 2
+    if all(n.dropped for n in named):
+        return
+    points_of, within = _points(root), {}
+    total = sum(points_of.values())
+    for block, points in points_of.items():
+        up = block
+        while up is not None:
+            if up.noise == 1:
+                within[id(up)] = within.get(id(up), 0.0) + points
+            up = up.parent
+    for node in named:
+        node.dropped = node.dropped or within.get(id(node), 0.0) <= total / 2
+
+
+def _points(root: Node) -> dict[Node, float]:
+    """The points of each block's text, without what is in links."""
+    blocks: list[tuple[Node, str, int]] = []
+    _blocks(root, root, False, blocks)
+    out: dict[Node, float] = {}
+    for block, text, linked in blocks:
+        out[block] = out.get(block, 0.0) + _worth(text) * (1 - linked / len(text))
+    return out
+
+
+def _worth(text: str) -> float:
+    return (1 if len(text) >= 25 else 0.1) + text.count(",") + min(len(text) / 100, 3)
+
+
+def _best_text(root: Node) -> str:
+    """The text of the best container and its good siblings."""
     blocks: list[tuple[Node, str, int]] = []
     _blocks(root, root, False, blocks)
     scored: list[Node] = []
     for block, text, linked in blocks:
-        points = (1 if len(text) >= 25 else 0.1) + text.count(",") + min(len(text) / 100, 3)
+        points = _worth(text)
         up, share = block if block.tag not in _PARAGRAPHS else block.parent or block, 1
         level = up
         while level is not None:

@@ -84,6 +84,24 @@ def test_main_text():
     assert main_text("<div>" * 5000 + "<p>deep, but here" + "</div>" * 5000) == "deep, but here"
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='content has-sidebar'", "div class='post with-comments'", "div class='page no-header'", "div class='wrap fixed-nav'",
+    "div class='entry share'", "section class='search-result'", "div id=widget-17", "div class='sidebar'",
+])
+def test_wrappers_keep_their_article(wrapper):
+    text = "A paragraph of the article, with commas, and enough words to count as one."
+    inner = f"<p>{text}</p><p title='a hidden gem'>{text}</p><div class='comments'><p>I, too, like this very much.</p></div><div class='cookie-banner'>We use cookies, many.</div>"
+    tag = wrapper.split()[0]
+    assert main_text(f"<body><{wrapper}><div>{inner}</div></{tag}></body>") == f"{text}\n{text}"
+    if "sidebar'" not in wrapper or "has" in wrapper:
+        assert main_text(f"<body><div>Footer line of the page</div><{wrapper}><div>{inner}</div></{tag}></body>") == f"{text}\n{text}"
+
+
+def test_hidden_is_an_attribute():
+    for attributes in ("hidden", "hidden=''", "aria-hidden='true'", "style='color: red; display: none'"):
+        assert main_text(f"<div><p>Shown, with some more words in it.</p><p {attributes}>Not shown, with some more words.</p></div>") == "Shown, with some more words in it."
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, PAGE, "t"), (2, PAGE, "t")], "page_id long, html string, text string")
     out = extract_text(pages).collect()
