@@ -17,14 +17,14 @@ TRAINING_ROWS = 50_000
 
 
 def training_rows(docs, labels, folds: int, held: int, label: str, most: int = TRAINING_ROWS):
-    """(text, label) of about ``most`` labelled rows that are not held out, or of all if there are fewer.
+    """(doc_id, text, label) of about ``most`` labelled rows that are not held out, or of all if there are fewer.
 
     As their number is bounded, the labels are broadcast to the texts, and no text is shuffled.
     """
     labels = labels.where((remainder(folds) != held) & F.col(label).isin(0, 1)).select("doc_id", label).distinct()
     share = int(1_000_000 * min(1.0, most / max(labels.count(), 1)))
     kept = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("text", label)
+    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("doc_id", "text", label)
 
 
 @query("op5_toxicity")

@@ -84,12 +84,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 12_000, thresh
     """``docs`` with ``score`` (0 to 1, higher: better) and ``predicted`` (1 from ``threshold`` on).
 
     ``labels`` has ``text`` and ``quality``; its rows of quality 1 are the trusted positives, and ``docs``, labels unseen,
-    the unlabelled text. Training takes at most ``most`` rows of either, the ones with the smallest hash of their text: a
-    bounded sample for the classifier only. The class prior is estimated from all rows of ``labels``. Every whole text is
+    the unlabelled text. Training takes at most ``most`` rows of either, the ones with the smallest hash of their text and
+    ``doc_id`` (if there is one), so copies are drawn one by one: a bounded sample for the classifier only. The class prior is estimated from all rows of ``labels``. Every whole text is
     scored. Null counts as empty; empty texts are scored like others; repeated rows get the same score; an empty table
     gives no rows; without positives every score is a half. Columns named like a new one are replaced.
     """
-    labels = labels.where("quality in (0, 1)").select(text_or_empty("text").alias("t"), F.col("quality").cast("int").alias("q"))
+    def texts(frame: DataFrame, name: str) -> list:
+        return [text_or_empty(name).alias("t"), F.col("doc_id") if "doc_id" in frame.columns else F.lit(None).alias("doc_id")]
+
+    labels = labels.where("quality in (0, 1)").select(*texts(labels, "text"), F.col("quality").cast("int").alias("q"))
     seen = {r["q"]: r["n"] for r in labels.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = estimate_prior(seen.get(1, 0), seen.get(0, 0))
     docs = docs.drop("score", "predicted")
@@ -101,12 +104,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 12_000, thresh
     def sample(frame: DataFrame, there: int) -> np.ndarray:
         # The hash threshold keeps the sort small; its slack makes a shortfall all but impossible.
         share = min(1.0, 1.2 * most / max(there, 1) + 0.01)
-        key = F.xxhash64("t")
+        key = F.xxhash64("t", "doc_id")
         kept = frame.withColumn("k", key).where(F.pmod("k", F.lit(1_000_003)) < int(share * 1_000_003) + 1).orderBy("k").limit(most)
         rows = kept.select("t").mapInArrow(vectors, "x binary").collect()
         return np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, WIDTH)
 
-    unlabelled = docs.select(text_or_empty(text).alias("t"))
+    unlabelled = docs.select(*texts(docs, text))
     weights, bias = np.zeros(WIDTH), 0.0
     if seen.get(1) and (there := unlabelled.count()):
         weights, bias = fit_nonnegative(sample(labels.where("q = 1"), seen[1]), sample(unlabelled, there), prior)

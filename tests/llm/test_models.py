@@ -1,8 +1,10 @@
 """Toxicity, quality and main text: accuracy on held-out rows, restored words, awkward pages."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from shelfgrid.llm import quality as quality_model
 from shelfgrid.llm.html_text import extract_text, main_text
 from shelfgrid.llm.q_labels import quality, toxicity
 from shelfgrid.llm.quality import score_quality
@@ -65,6 +67,17 @@ def test_scores_of_awkward_rows(spark):
     assert {r["score"] for r in score_quality(docs, good.limit(0)).collect()} == {0.5}
 
 
+def test_copies_are_sampled_one_by_one(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality_model, "fit_nonnegative", lambda p, u, prior: taken.extend((p, u)) or (np.zeros(quality_model.WIDTH), 0.0))
+    rows = [(i, "the same text, in a third of all rows" if i % 3 == 0 else f"Text {i} of its own.", 1) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert score_quality(frame.drop("quality"), frame, most=300).count() == 3000
+    for sample in taken:
+        shares = (sample == quality_model.features(rows[0][1])).all(axis=1).mean()
+        assert len(sample) == 300 and 0.2 < shares < 0.47
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a = "</p><p>no";</script></head><body>
 <nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="ad">Buy, buy, buy this thing now, it is so very good.</div>
 <article><h1>The  title</h1><p><b>First, a paragraph &amp; with some words in it,<br>and more.
