@@ -201,8 +201,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
 
     Two rounds of the same work. First the suffixes at the places of a difference cover are sorted by their first 64 bytes;
     two equal strings of 200 bytes always have a pair of cover places at the same distance from their starts, so only suffixes
-    that begin at most ``PERIOD - 1`` bytes before a cover place of which the rank is shared can be repeated: the cover's ranks settle all others.
-    Then those suffixes are sorted by their first ``length`` bytes. Sorting is by bucket, one bucket of bounded size in memory
+    that begin at most ``PERIOD - 1`` bytes before a cover place of which those 64 bytes recur can be repeated. So the cover is
+    a filter of candidates; no ranks are made, and it settles no tie. Then those suffixes are sorted by their first ``length`` bytes,
+    which settles all ties. Sorting is by bucket, one bucket of bounded size in memory
     at a time. The order is that of 64-bit digests of the bytes, not the alphabet's: only ties count here. The first round
     keeps 32 bits beside the bucket, as it need not be exact; the second all 64 (two different strings are taken for one
     with a chance of 2**-64 a pair).
@@ -233,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
             rows = list(_sent(chunk, hashes.at(at, 64), at, np.zeros(len(at), bool), bits, "<u4"))
             yield _batch(rows, _SENT)
 
-    shared = _repeated(keyed.select("key", F.col("_data").alias("data")).mapInArrow(sampled, _SENT), "<u4", "cover-ranks")
+    shared = _repeated(keyed.select("key", F.col("_data").alias("data")).mapInArrow(sampled, _SENT), "<u4", "cover-repeats")
     texts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("_data").alias("data"))
     texts = written(texts.join(shared, "key"), "repeat-candidates")
     released(spark)
