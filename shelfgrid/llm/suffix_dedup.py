@@ -42,6 +42,14 @@ def _covered(n: int, runs: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _whole(data: np.ndarray, gone: np.ndarray) -> bytes:
+    """The UTF-8 characters of which no byte is gone."""
+    if not gone.any():
+        return data.tobytes()
+    character = np.cumsum((data & 0xC0) != 0x80)
+    return data[np.bincount(character, gone)[character] == 0].tobytes()
+
+
 def _read_runs(stored: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in stored]) if stored else np.zeros((0, 2), np.int64)
 
@@ -195,7 +203,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
 
     Texts are UTF-8 bytes, null is empty. A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
     else in the corpus, overlapping occurrences in the same text included; strings are judged on the input. ``n_spans``
-    counts the maximal removed runs. With ``keep_text`` the last column ``kept`` holds the remaining bytes. Repeated rows are
+    counts the maximal removed runs. With ``keep_text`` the last column ``kept`` holds the remaining bytes, without
+    those of characters that a cut goes through. Repeated rows are
     copies of each other, so all their bytes go (if there are ``length``); an empty table gives no rows. Columns named like a
     new one are replaced.
 
@@ -271,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
                     gone = _covered(len(data), np.column_stack([runs[:, 0], runs[:, 1] + length - 1]))
                 rest = data[~gone].tobytes()
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                rows.append((r["key"], int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
+                rows.append((r["key"], int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), _whole(data, gone) if keep_text else None))
             names = ["key", "n_removed", "n_spans", "kept_sha256", "kept"]
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
