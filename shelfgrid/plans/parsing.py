@@ -26,9 +26,12 @@ def parse_tag_fields(rows: DataFrame, keep: list[str], cfg: ParserConfig = Parse
 
     Later sources overwrite earlier ones: ``label_<field>`` columns, ``code_values`` (array), ``raw_text``,
     then ``promo_confidence / promo_price_card / promo_price_default / promo_discount_amount``, which never
-    overwrite a label. Missing columns count as empty.
+    overwrite a label. Missing columns count as empty. A row costs far more to evaluate than to move, so rows are dealt
+    out by ``keep`` first: the input may be a single file.
     """
     have = set(rows.columns)
+    if keep:
+        rows = rows.repartition(*keep)
     none = F.lit(None).cast("string")
 
     def column(name: str) -> Column:
