@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfgrid.llm.registry import QUERIES, SQL
 
-for _module in ("q_urls", "q_tokens", "q_packing", "q_leaks", "q_labels", "q_html", "q_repeats", "q_ngrams", "q_nearest", "q_search", "q_conversations"):
+for _module in ("q_urls", "q_tokens", "q_packing", "q_leaks", "q_labels", "q_html", "q_repeats", "q_ngrams", "q_nearest", "q_search", "q_conversations", "q_personal"):
     import_module(f"shelfgrid.llm.{_module}")
 
 
