@@ -9,7 +9,7 @@ from shelfgrid.session import local_session
 
 HEADLINE = (
     "fuse_final_rows", "parse_tag_fields", "boost_with_text", "best_frame_per_window", "nms_detections",
-    "track_objects", "match_labels", "summarize_tracks",
+    "track_objects", "match_labels", "summarize_tracks", "match_catalog", "detect_candidates", "tags_to_csv",
 )
 
 

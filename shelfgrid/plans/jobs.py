@@ -21,17 +21,28 @@ FRAME = ["video_id", "frame_index"]
 
 
 def apply_reference(fields: DataFrame, catalog: DataFrame, cfg: ParserConfig = ParserConfig()) -> DataFrame:
-    """Matched entries overwrite name and codes; the QR code stays only where a code was really read."""
+    """Matched entries overwrite name and codes; the QR code stays only where a code was really read.
+
+    ``sources``, where rows have it, says so: fields from the catalogue, and a QR code that was not read.
+    """
     rows = match_catalog(fields, catalog, cfg.min_reference_score)
+    matched = F.col("reference_entry_id").isNotNull()
     code = F.coalesce("reference_barcode", "barcode")
     read = F.size(F.coalesce("code_values", F.array().cast("array<string>"))) > 0 if "code_values" in rows.columns else F.lit(False)
-    return rows.withColumns(
-        {
-            "product_name": F.coalesce("reference_product_name", "product_name"), "barcode": code,
-            "qr_code_barcode": F.when(read, F.coalesce("reference_barcode", "qr_code_barcode")),
-            "reference_matched": F.col("reference_entry_id").isNotNull(),
+    changed = {
+        "product_name": F.coalesce("reference_product_name", "product_name"), "barcode": code,
+        "qr_code_barcode": F.when(read, F.coalesce("reference_barcode", "qr_code_barcode")), "reference_matched": matched,
+    }
+    if "sources" in rows.columns:
+        from_code = matched & F.col("reference_barcode").isNotNull()
+        said = {
+            "product_name": F.when(matched, "product_reference_name_match"), "barcode": F.when(from_code, "product_reference_name_match"),
+            "qr_code_barcode": F.when(~read, "not_read_from_image").when(from_code, "product_reference_name_match"),
         }
-    )
+        new = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), c.alias("value")) for f, c in said.items())), lambda e: e["value"].isNotNull())
+        kept = F.map_filter("sources", lambda f, _: ~F.array_contains(F.transform(new, lambda e: e["key"]), f))
+        changed["sources"] = F.map_concat(kept, F.map_from_entries(new))
+    return rows.withColumns(changed)
 
 
 def recognize_detections(

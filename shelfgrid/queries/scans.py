@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from shelfgrid.functions import text as x
 from shelfgrid.operators import catalog as c
 from shelfgrid.queries.boxes import KEY, KEY_SQL
 from shelfgrid.queries.registry import query
@@ -118,3 +119,27 @@ def match_catalog(t):
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "product_name", "reference_entry_id", "reference_score",
         "reference_reason", "reference_product_name", "reference_barcode",
     )
+
+
+@query("token_partners", "names catalog_src")
+def token_partners(t):
+    seen = c.distinct_names(t.names).select(F.explode("tokens").alias("token")).distinct()
+    known = catalog(t).select(F.explode("name_tokens").alias("token")).distinct()
+    return c.token_partners(seen, known).select("token", F.array_join(F.array_sort("partners"), " ").alias("partners"))
+
+
+def own_entries(t):
+    """Every distinct misread name with the catalogue entry it was read from."""
+    return t.names.select("product_name", F.col("l_partkey").alias("entry_id")).distinct()
+
+
+@query("sequence_ratio", "names catalog_src")
+def sequence_ratio(t):
+    pairs = own_entries(t).join(catalog(t).select("entry_id", "normalized_name"), "entry_id")
+    pairs = pairs.select("product_name", "entry_id", x.normalize_name(F.col("product_name")).alias("detected"), "normalized_name")
+    return pairs.select("product_name", "entry_id", c.sequence_ratio("detected", "normalized_name").alias("ratio"))
+
+
+@query("catalog_score", "names catalog_src")
+def catalog_score(t):
+    return c.score_pairs(own_entries(t), t.names, catalog(t))

@@ -156,15 +156,15 @@ def plain_score(name, tokens, grams, entry, e_tokens, e_grams, garbage):
     return score * (0.55 if garbage else 1.0)
 
 
-@pytest.mark.parametrize("hot_df", [2, 10_000])
-def test_catalog_match_equals_exhaustive_scoring(spark, hot_df):
+@pytest.mark.parametrize("shard_entries", [7, 20_000])
+def test_catalog_match_equals_exhaustive_scoring(spark, shard_entries):
     rnd = random.Random(7)
     words = ["молоко", "сметана", "кефир", "творог", "шоколад", "merlot", "blanc", "grand", "batonchik", "prostokvashino"]
     entries = [(i, f"{rnd.choice(words)} {rnd.choice(words)} {rnd.choice(words)} {i % 9}кг общий", str(4600000000000 + i * 7919)) for i in range(60)]
     names = [(" ".join(w if rnd.random() < 0.5 else w[:2] + w[3:] for w in rnd.sample(words, 3)) + rnd.choice([" общий", ""]),) for _ in range(40)]
     catalog = cat.build_catalog(spark.createDataFrame(entries, "entry_id int, product_name string, barcode string"), ["entry_id"])
     df = spark.createDataFrame(names, "product_name string")
-    got = {r.product_name: (r.entry_id, round(r.score, 6)) for r in cat.best_catalog_entries(df, catalog, hot_df=hot_df).collect()}
+    got = {r.product_name: (r.entry_id, round(r.score, 6)) for r in cat.best_catalog_entries(df, catalog, shard_entries=shard_entries).collect()}
 
     def parts(frame):
         c = F.col("product_name")
