@@ -59,3 +59,23 @@ def fold_groups(
 
     arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return arranged.mapInArrow(run, schema)
+
+
+def filter_groups(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], make: Callable[[], object]) -> DataFrame:
+    """Rows that a fresh object of each group keeps; it is asked ``keep(*columns)`` for the rows in order.
+
+    Only ``keys`` and ``columns`` become Python values; the rows themselves stay in Arrow batches.
+    """
+    def run(batches: Iterable[pa.RecordBatch]):
+        keeper, current = None, None
+        for batch in batches:
+            asked = zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(c).to_pylist() for c in columns))
+            mask = []
+            for key, *values in asked:
+                if key != current:
+                    keeper, current = make(), key
+                mask.append(keeper.keep(*values))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return arranged.mapInArrow(run, df.schema)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from shelfgrid.config import DetectConfig, TrackConfig
 from shelfgrid.functions import geometry as g
 from shelfgrid.functions.scores import text_region_gate
-from shelfgrid.operators.folds import fold_groups
+from shelfgrid.operators.box_grid import BoxGrid
+from shelfgrid.operators.folds import filter_groups, fold_groups
 from shelfgrid.operators.spatial import FRAME, cover
 
 SIDES = ["x_min", "y_min", "x_max", "y_max"]
@@ -27,54 +28,34 @@ def area(b) -> int:
     return max(0, b[2] - b[0]) * max(0, b[3] - b[1])
 
 
-def overlap(a, b) -> int:
-    w = min(a[2], b[2]) - max(a[0], b[0])
-    h = min(a[3], b[3]) - max(a[1], b[1])
-    return w * h if w > 0 and h > 0 else 0
-
-
-def overlaps(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Shared area of one box with each of many."""
-    sides = np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2])
-    return np.where((sides > 0).all(axis=1), sides[:, 0] * sides[:, 1], 0)
-
-
-def areas(boxes: np.ndarray) -> np.ndarray:
-    return np.maximum(boxes[:, 2] - boxes[:, 0], 0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0)
-
-
-def box_iou(a, b) -> float:
-    inter = overlap(a, b)
-    total = area(a) + area(b) - inter
-    return inter / total if total > 0 else 0.0
-
-
-def box_share(outer, inner) -> float:
-    size = area(inner)
-    return overlap(outer, inner) / size if size > 0 else 0.0
-
-
 class _Suppressor:
-    """Keep a row unless a kept one conflicts with it; stop at ``limit`` kept rows."""
-
-    def __init__(self, conflict, limit: int | None):
-        self.conflict, self.limit, self.kept = conflict, limit, []
-
-    def push(self, row):
-        if self.limit is not None and len(self.kept) >= self.limit:
-            return ()
-        if any(self.conflict(row, other) for other in self.kept):
-            return ()
-        self.kept.append(row)
-        return (row,)
-
-    def finish(self):
-        return ()
+    """Keep a box unless a kept one of its ``lane`` overlaps it too much or a kept row has the same ``once`` value."""
 
+    def __init__(self, min_iou: float, min_share: float | None, limit: int | None):
+        self.min_iou, self.min_share, self.limit = min_iou, min_share, limit
+        self.grids: dict[object, BoxGrid] = {}
+        self.taken, self.count = set(), 0
 
-def _suppress_streamed(rows: DataFrame, keys, rank, conflict, limit) -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return fold_groups(rows, keys, rank, lambda: _Suppressor(conflict, limit), schema)
+    def keep(self, x_min, y_min, x_max, y_max, lane=None, once=None) -> bool:
+        if self.limit is not None and self.count >= self.limit:
+            return False
+        if once is not None and once in self.taken:
+            return False
+        box = (x_min, y_min, x_max, y_max)
+        grid = self.grids.get(lane)
+        if grid is None:
+            grid = self.grids[lane] = BoxGrid()
+        ids, shared = grid.near(box)
+        if len(ids):
+            own, others = area(box), grid.areas(ids)
+            worst = (shared / (own + others - shared)).max() >= self.min_iou
+            if worst or (self.min_share is not None and (shared / np.minimum(own, others)).max() >= self.min_share):
+                return False
+        grid.add(box)
+        self.count += 1
+        if once is not None:
+            self.taken.add(once)
+        return True
 
 
 def _suppress_rounds(rows: DataFrame, keys, rank_value: Column, cells: Callable, conflict: Callable) -> DataFrame:
@@ -113,22 +94,26 @@ def ensure_checkpoint_dir(spark) -> None:
 
 
 def suppress(
-    rows: DataFrame, keys: list[str], rank: list[Column], rank_value: Column, py_conflict, cells, conflict,
-    limit: int | None = None, crowd: int | None = None,
+    rows: DataFrame, keys: list[str], rank: list[Column], rank_value: Column, limits: tuple[float, float | None], cells, conflict,
+    limit: int | None = None, crowd: int | None = None, lanes: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Greedy suppression by group; ``crowd`` decides groups above that size in rounds.
+    """Greedy suppression by group; ``limits`` are the least IoU and share of a conflict, ``lanes`` the columns of lane and once-value.
 
-    ``crowd=None`` streams every group: state is the kept rows only.
+    Groups stream through a grid of the kept boxes, so a row meets what lies in its cells only; state is the kept boxes.
+    ``crowd`` decides groups above that size in rounds over the cluster instead, without gathering them.
     """
+    def streamed(some: DataFrame) -> DataFrame:
+        return filter_groups(some, keys, rank, [*SIDES, *lanes], lambda: _Suppressor(*limits, limit))
+
     if crowd is None:
-        return _suppress_streamed(rows, keys, rank, py_conflict, limit)
+        return streamed(rows)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > crowd).select(*keys)
     small = rows.join(sizes, keys, "left_anti")
     large = _suppress_rounds(rows.join(sizes, keys, "left_semi"), keys, rank_value, cells, conflict)
     if limit is not None:
         top = Window.partitionBy(*keys).orderBy(*rank)
         large = large.withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= limit).drop("_n")
-    return _suppress_streamed(small, keys, rank, py_conflict, limit).unionByName(large.select(*rows.columns))
+    return streamed(small).unionByName(large.select(*rows.columns))
 
 
 def _grid_cells(size: int = 256, extra: Column | None = None):
@@ -145,18 +130,11 @@ def _grid_cells(size: int = 256, extra: Column | None = None):
 
 
 def _overlap_rule(min_iou: float, min_share: float):
-    def column_rule(a: Column, b: Column) -> Column:
+    def rule(a: Column, b: Column) -> Column:
         p, q = g.box_of(a), g.box_of(b)
         return (g.iou(p, q) >= min_iou) | (g.contains_ratio(p, q) >= min_share) | (g.contains_ratio(q, p) >= min_share)
 
-    def py_rule(a, b) -> bool:
-        inter = overlap(a, b)
-        if not inter:
-            return False
-        sa, sb = area(a), area(b)
-        return inter / (sa + sb - inter) >= min_iou or inter / sa >= min_share or inter / sb >= min_share
-
-    return column_rule, py_rule
+    return rule
 
 
 def nms_detections(detections: DataFrame, cfg: TrackConfig = TrackConfig(), crowd: int | None = None) -> DataFrame:
@@ -164,11 +142,11 @@ def nms_detections(detections: DataFrame, cfg: TrackConfig = TrackConfig(), crow
     names = ["video_id", "frame_index", "timestamp_ms", "candidate_index", "source", "score", *SIDES]
     quality = g.detection_quality(g.box(), F.col("score"), F.col("source"))
     rows = detections.select(*names).withColumn("quality", quality)
-    column_rule, py_rule = _overlap_rule(cfg.nms_iou, cfg.nms_containment)
+    limits = (cfg.nms_iou, cfg.nms_containment)
     rank_value = F.struct(F.col("quality"), (-F.col("candidate_index")).alias("c"))
     return suppress(
-        rows, FRAME, [F.col("quality").desc(), F.col("candidate_index")], rank_value,
-        lambda a, b: py_rule(a[6:10], b[6:10]), _grid_cells(), column_rule, cfg.max_per_frame, crowd,
+        rows, FRAME, [F.col("quality").desc(), F.col("candidate_index")], rank_value, limits,
+        _grid_cells(), _overlap_rule(*limits), cfg.max_per_frame, crowd,
     ).drop("quality")
 
 
@@ -186,12 +164,10 @@ def select_diverse(candidates: DataFrame, cfg: DetectConfig = DetectConfig(), cr
     rows = candidates.select(
         *keys, *SIDES, layout.alias("layout_key"), ranking_key().alias("rank_score"),
         F.coalesce("rectangularity", F.lit(0.0)).alias("rectangularity"),
-        g.box().area.alias("box_area"),
+        g.box().area.alias("box_area"), F.lit(0).alias("lane"),
     )
-    column_rule, py_rule = _overlap_rule(cfg.diverse_iou, cfg.diverse_containment)
-
-    def py_conflict(a, b) -> bool:
-        return (a[7] is not None and a[7] == b[7]) or py_rule(a[3:7], b[3:7])
+    limits = (cfg.diverse_iou, cfg.diverse_containment)
+    column_rule = _overlap_rule(*limits)
 
     def conflict(a: Column, b: Column) -> Column:
         return F.coalesce(a["layout_key"] == b["layout_key"], F.lit(False)) | column_rule(a, b)
@@ -199,17 +175,15 @@ def select_diverse(candidates: DataFrame, cfg: DetectConfig = DetectConfig(), cr
     rank = [F.col("rank_score").desc(), F.col("rectangularity").desc(), F.col("box_area").desc(), F.col("candidate_index")]
     rank_value = F.struct("rank_score", "rectangularity", "box_area", (-F.col("candidate_index")).alias("c"))
     cells = _grid_cells(extra=F.concat(F.lit("layout:"), F.col("layout_key")))
-    kept = suppress(rows, FRAME, rank, rank_value, py_conflict, cells, conflict, cfg.max_candidates, crowd)
+    kept = suppress(rows, FRAME, rank, rank_value, limits, cells, conflict, cfg.max_candidates, crowd, ("lane", "layout_key"))
     return candidates.join(kept.select(*keys), keys, "left_semi")
 
 
 def distinct_codes(codes: DataFrame, min_iou: float = 0.50, crowd: int | None = None) -> DataFrame:
     """Per frame, surest first; a code repeats a kept one of its type with the same value or place."""
     names = ["video_id", "frame_index", "code_index", "code_type", "value", "confidence", *SIDES]
-    rows = codes.select(*names)
-
-    def py_conflict(a, b) -> bool:
-        return a[3] == b[3] and ((bool(a[4]) and a[4] == b[4]) or box_iou(a[6:10], b[6:10]) >= min_iou)
+    once = F.when(F.col("value") != "", F.concat("code_type", F.lit(":"), "value"))
+    rows = codes.select(*names, once.alias("once"))
 
     def conflict(a: Column, b: Column) -> Column:
         same = (a["value"] != "") & (a["value"] == b["value"])
@@ -218,8 +192,9 @@ def distinct_codes(codes: DataFrame, min_iou: float = 0.50, crowd: int | None =
     rank_value = F.struct("confidence", (-F.col("code_index")).alias("c"))
     cells = _grid_cells(extra=F.when(F.col("value") != "", F.concat(F.lit("v:"), "code_type", F.lit(":"), "value")))
     return suppress(
-        rows, FRAME, [F.col("confidence").desc(), F.col("code_index")], rank_value, py_conflict, cells, conflict, None, crowd
-    )
+        rows, FRAME, [F.col("confidence").desc(), F.col("code_index")], rank_value, (min_iou, None), cells, conflict, None, crowd,
+        ("code_type", "once"),
+    ).drop("once")
 
 
 def distinct_frame_boxes(boxes: DataFrame, order: str, threshold: float = 0.85, crowd: int | None = None) -> DataFrame:
@@ -227,7 +202,7 @@ def distinct_frame_boxes(boxes: DataFrame, order: str, threshold: float = 0.85,
     names = ["video_id", "frame_index", order, *SIDES]
     rows = boxes.select(*names)
     return suppress(
-        rows, FRAME, [F.col(order)], -F.col(order), lambda a, b: box_iou(a[3:7], b[3:7]) >= threshold, _grid_cells(),
+        rows, FRAME, [F.col(order)], -F.col(order), (threshold, None), _grid_cells(),
         lambda a, b: g.iou(g.box_of(a), g.box_of(b)) >= threshold, None, crowd,
     )
 
@@ -245,20 +220,44 @@ def split_by_columns(df: DataFrame, keys: list[str], x_min: str = "x_min", x_max
     return df.join(edges, [*keys, x_min])
 
 
+def split_by_strips(df: DataFrame, keys: list[str], margin: float, rounds: int = 3) -> DataFrame:
+    """Number the strips of each group between gaps that no growing group of boxes can bridge.
+
+    The union of all boxes on one side, grown by ``margin`` of its width, must not meet the grown boxes of the other side.
+    Strips that are cut off make the unions smaller, so later rounds find more gaps. Only distinct left edges are ordered.
+    """
+    edges = df.groupBy(*keys, "x_min").agg(F.max("x_max").alias("_right")).withColumn("strip", F.lit("0"))
+    for _ in range(rounds):
+        by = Window.partitionBy(*keys, "strip").orderBy("x_min")
+        before, upto, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+        whole = Window.partitionBy(*keys, "strip")
+        wide = F.col("_right") - F.col("x_min")
+        gap = F.col("x_min") - F.max("_right").over(before)
+        left_span, right_span = F.max("_right").over(before) - F.min("x_min").over(whole), F.max("_right").over(whole) - F.col("x_min")
+        left = gap > F.lit(margin) * (left_span + F.max(wide).over(after)) + 1
+        right = gap > F.lit(margin) * (right_span + F.max(wide).over(before)) + 1
+        edges = edges.withColumn("_cut", F.coalesce((left & right).cast("int"), F.lit(0)))
+        edges = edges.withColumn("_part", F.sum("_cut").over(upto)).withColumn("strip", F.concat_ws(".", "strip", F.col("_part").cast("string")))
+    return df.join(edges.select(*keys, "x_min", "strip"), [*keys, "x_min"])
+
+
 class _GroupFold:
-    """One pass over boxes in order: each open group takes every later box its grown box overlaps.
+    """Boxes of one strip in order: each open group takes every later box its grown box meets.
 
-    The sequential rule grows one group over all later boxes before the next group starts; boxes are
-    therefore kept until the end of the piece, as plain tuples.
+    The sequential rule grows one group over all later boxes before the next group starts, so the boxes of the strip are
+    kept, as numbers by grid cell; a group asks only the cells it covers.
     """
 
     def __init__(self, width: int, height: int, margin: float, threshold: float):
         self.width, self.height, self.margin, self.threshold = width, height, margin, threshold
-        self.keys, self.rows = None, []
+        self.keys, self.order, self.mass, self.boxes, self.reaches = None, [], [], [], BoxGrid()
 
     def push(self, row):
         self.keys = row[:2]
-        self.rows.append(row[3:])
+        self.order.append(row[2])
+        self.boxes.append(row[3:7])
+        self.mass.append(row[7])
+        self.reaches.add(self.grow(row[3:7]))
         return ()
 
     def grow(self, b):
@@ -270,26 +269,27 @@ class _GroupFold:
         )
 
     def finish(self):
-        boxes = np.array([r[:4] for r in self.rows], np.int64).reshape(-1, 4)
-        reaches = np.array([self.grow(r[:4]) for r in self.rows], np.int64).reshape(-1, 4)
-        free = np.ones(len(boxes), bool)
-        kept = np.zeros((0, 4), np.int64)
-        for first, row in enumerate(self.rows):
-            if not free[first]:
+        kept = BoxGrid()
+        for first in range(len(self.boxes)):
+            if not self.reaches.live[first]:
                 continue
-            union, reach, mass, at = boxes[first], reaches[first], row[5], first
+            union, mass, at = tuple(self.boxes[first]), self.mass[first], first
+            reach = self.grow(union)
+            met = self.reaches.near(reach, at)[0]
             # The reach only changes when a box joins, so jump to the next free box that it meets.
-            while len(met := np.flatnonzero(free[at + 1:] & (overlaps(reach, reaches[at + 1:]) > 0))):
-                at += 1 + int(met[0])
-                free[at] = False
-                union = np.append(np.minimum(union[:2], boxes[at, :2]), np.maximum(union[2:], boxes[at, 2:]))
-                reach = np.array(self.grow([int(v) for v in union]), np.int64)
-                mass += self.rows[at][5]
-            common = overlaps(union, kept)
-            total = areas(union[None]) + areas(kept) - common
-            if not (common >= self.threshold * total)[total > 0].any():
-                kept = np.vstack([kept, union])
-                yield (*self.keys, row[4], *(int(v) for v in union), mass)
+            while len(met):
+                at = int(met[0])
+                self.reaches.leave(at)
+                b = self.boxes[at]
+                union = (min(union[0], b[0]), min(union[1], b[1]), max(union[2], b[2]), max(union[3], b[3]))
+                mass += self.mass[at]
+                grown = self.grow(union)
+                met = met[1:] if grown == reach else self.reaches.near(grown, at)[0]
+                reach = grown
+            ids, common = kept.near(union)
+            if not (common >= self.threshold * (area(union) + kept.areas(ids) - common)).any():
+                kept.add(union)
+                yield (*self.keys, self.order[first], *union, mass)
 
 
 def group_near_boxes(
@@ -298,15 +298,15 @@ def group_near_boxes(
     """Text boxes grown into groups; ``text_fill`` of a group spreads its members' text over the union.
 
     Copies of a box always end in the group of the first one, so they are counted together before the
-    shuffle; a task then holds the distinct gated boxes of one frame.
+    shuffle; a task then holds the distinct gated boxes of one strip of a frame.
     """
     b = g.box()
     rows = regions.withColumn("mass", F.col("text_fill") * b.area).groupBy(*FRAME, *SIDES).agg(
         F.min("region_index").alias("region_index"), F.sum("mass").alias("mass")
     )
-    rows = rows.select(*FRAME, "region_index", *SIDES, F.col("region_index").alias("_order"), "mass")
+    rows = split_by_strips(rows, FRAME, margin).select(*FRAME, "region_index", *SIDES, "mass", "strip")
     out = fold_groups(
-        rows, FRAME, [F.col("region_index")], lambda: _GroupFold(width, height, margin, threshold),
+        rows, [*FRAME, "strip"], [F.col("region_index")], lambda: _GroupFold(width, height, margin, threshold),
         "video_id string, frame_index int, region_index int, x_min int, y_min int, x_max int, y_max int, mass double",
     )
     return out.select(*FRAME, "region_index", *SIDES, F.least(F.lit(1.0), F.col("mass") / b.area).alias("text_fill"))
@@ -344,24 +344,25 @@ class _MergeFold:
     def __init__(self, min_iou: float, min_share: float, limit: int | None):
         self.min_iou, self.min_share, self.limit = min_iou, min_share, limit
         self.kept: list[list] = []
+        self.grid, self.place = BoxGrid(), []  # boxes that may still merge, and where their rows are kept
 
     @staticmethod
     def values(row) -> list[str]:
         return row[17].split("|") if row[17] else []
 
-    def mergeable(self, first, second) -> bool:
-        if first[20] is not None and first[21] is not None:
-            return False
-        a, b = first[3:7], second[3:7]
-        inter = overlap(a, b)
-        if not inter:
-            return False
-        sa, sb = area(a), area(b)
-        if inter / (sa + sb - inter) < self.min_iou and inter / sa < self.min_share and inter / sb < self.min_share:
-            return False
-        union = (max(a[2], b[2]) - min(a[0], b[0])) * (max(a[3], b[3]) - min(a[1], b[1]))
-        if union / max(sa, sb) > 1.8:
-            return False
+    def candidates(self, row) -> list[int]:
+        """Kept rows, in order, whose box overlaps enough and would not grow too much."""
+        box = row[3:7]
+        ids, shared = self.grid.near(box)
+        if not len(ids):
+            return []
+        own, others, held = area(box), self.grid.areas(ids), self.grid.boxes[ids]
+        union = (np.maximum(held[:, 2], box[2]) - np.minimum(held[:, 0], box[0])) * (np.maximum(held[:, 3], box[3]) - np.minimum(held[:, 1], box[1]))
+        enough = (shared / (own + others - shared) >= self.min_iou) | (shared / others >= self.min_share) | (shared / own >= self.min_share)
+        return ids[enough & (union / np.maximum(own, others) <= 1.8)].tolist()
+
+    def agree(self, first, second) -> bool:
+        """Whether the codes and anchors of two rows do not speak against merging them."""
         p, q = set(self.values(first)), set(self.values(second))
         if p and q and not p & q:
             return False
@@ -393,14 +394,16 @@ class _MergeFold:
         return out
 
     def push(self, row):
-        if row[20] is not None and row[21] is not None:
-            self.kept.append(list(row))
-            return ()
-        for i, other in enumerate(self.kept):
-            if self.mergeable(other, row):
-                self.kept[i] = self.merged(other, row)
-                return ()
-        self.kept.append(list(row))
+        if row[20] is None or row[21] is None:
+            for k in self.candidates(row):
+                i = self.place[k]
+                if self.agree(self.kept[i], row):
+                    self.kept[i] = self.merged(self.kept[i], row)
+                    self.grid.grow(k, self.kept[i][3:7])
+                    return ()
+            self.grid.add(row[3:7])
+            self.place.append(len(self.kept))
+        self.kept.append(list(row))  # boxes of a layout neither merge nor are merged into
         return ()
 
     def finish(self):
