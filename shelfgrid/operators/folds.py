@@ -21,13 +21,14 @@ def fold_groups(
     order: list[Column],
     make: Callable[[], object],
     schema: str,
+    dealt: bool = False,
 ) -> DataFrame:
     """Feed each group's rows, in order, to a fresh folder object.
 
     ``make()`` returns an object with ``push(row) -> iterable of tuples`` and ``finish() -> iterable of
     tuples``; ``row`` is a plain tuple in the column order of ``df`` and every output tuple follows
     ``schema``. The sort is Spark's external one, so a group is never held as a whole: memory is
-    whatever the folder keeps.
+    whatever the folder keeps. ``dealt`` says that each group lies in one partition already, as behind another fold.
     """
     names = df.columns
     key_at = [names.index(k) for k in keys]
@@ -57,11 +58,11 @@ def fold_groups(
         for start in range(0, len(buffer), BATCH):
             yield packed(buffer[start : start + BATCH])
 
-    arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    arranged = (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order)
     return arranged.mapInArrow(run, schema)
 
 
-def filter_groups(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], make: Callable[[], object]) -> DataFrame:
+def filter_groups(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], make: Callable[[], object], dealt: bool = False) -> DataFrame:
     """Rows that a fresh object of each group keeps; it is asked ``keep(*columns)`` for the rows in order.
 
     Only ``keys`` and ``columns`` become Python values; the rows themselves stay in Arrow batches.
@@ -77,5 +78,5 @@ def filter_groups(df: DataFrame, keys: list[str], order: list[Column], columns:
                 mask.append(keeper.keep(*values))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    arranged = (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order)
     return arranged.mapInArrow(run, df.schema)

@@ -95,7 +95,7 @@ def ensure_checkpoint_dir(spark) -> None:
 
 def suppress(
     rows: DataFrame, keys: list[str], rank: list[Column], rank_value: Column, limits: tuple[float, float | None], cells, conflict,
-    limit: int | None = None, crowd: int | None = None, lanes: tuple[str, ...] = (),
+    limit: int | None = None, crowd: int | None = None, lanes: tuple[str, ...] = (), dealt: bool = False,
 ) -> DataFrame:
     """Greedy suppression by group; ``limits`` are the least IoU and share of a conflict, ``lanes`` the columns of lane and once-value.
 
@@ -103,7 +103,7 @@ def suppress(
     ``crowd`` decides groups above that size in rounds over the cluster instead, without gathering them.
     """
     def streamed(some: DataFrame) -> DataFrame:
-        return filter_groups(some, keys, rank, [*SIDES, *lanes], lambda: _Suppressor(*limits, limit))
+        return filter_groups(some, keys, rank, [*SIDES, *lanes], lambda: _Suppressor(*limits, limit), dealt)
 
     if crowd is None:
         return streamed(rows)
@@ -157,23 +157,27 @@ def ranking_key() -> Column:
     return F.col("score") + bonus
 
 
-def select_diverse(candidates: DataFrame, cfg: DetectConfig = DetectConfig(), crowd: int | None = None) -> DataFrame:
-    """Final candidates of a frame: no two overlap much, one per colour component."""
+def select_diverse(candidates: DataFrame, cfg: DetectConfig = DetectConfig(), crowd: int | None = None, dealt: bool = False) -> DataFrame:
+    """Final candidates of a frame: no two overlap much, one per colour component.
+
+    ``dealt`` says that the candidates of a frame lie in one partition already.
+    """
     keys = [*FRAME, "candidate_index"]
     layout = F.col("layout_key") if "layout_key" in candidates.columns else F.lit(None).cast("string")
-    rows = candidates.select(
-        *keys, *SIDES, layout.alias("layout_key"), ranking_key().alias("rank_score"),
-        F.coalesce("rectangularity", F.lit(0.0)).alias("rectangularity"),
-        g.box().area.alias("box_area"), F.lit(0).alias("lane"),
-    )
+    rank_by = {"rank_score": ranking_key(), "rank_shape": F.coalesce("rectangularity", F.lit(0.0)), "box_area": g.box().area, "lane": F.lit(0)}
     limits = (cfg.diverse_iou, cfg.diverse_containment)
     column_rule = _overlap_rule(*limits)
 
     def conflict(a: Column, b: Column) -> Column:
         return F.coalesce(a["layout_key"] == b["layout_key"], F.lit(False)) | column_rule(a, b)
 
-    rank = [F.col("rank_score").desc(), F.col("rectangularity").desc(), F.col("box_area").desc(), F.col("candidate_index")]
-    rank_value = F.struct("rank_score", "rectangularity", "box_area", (-F.col("candidate_index")).alias("c"))
+    rank = [F.col("rank_score").desc(), F.col("rank_shape").desc(), F.col("box_area").desc(), F.col("candidate_index")]
+    if crowd is None:  # rows stay whole in their batches, so the kept ones need not be looked up
+        ranked = candidates.withColumns({**rank_by, "layout_key": layout})
+        kept = suppress(ranked, FRAME, rank, None, limits, None, None, cfg.max_candidates, None, ("lane", "layout_key"), dealt)
+        return kept.select(*candidates.columns)
+    rows = candidates.select(*keys, *SIDES, layout.alias("layout_key"), *(c.alias(n) for n, c in rank_by.items()))
+    rank_value = F.struct("rank_score", "rank_shape", "box_area", (-F.col("candidate_index")).alias("c"))
     cells = _grid_cells(extra=F.concat(F.lit("layout:"), F.col("layout_key")))
     kept = suppress(rows, FRAME, rank, rank_value, limits, cells, conflict, cfg.max_candidates, crowd, ("lane", "layout_key"))
     return candidates.join(kept.select(*keys), keys, "left_semi")
@@ -412,13 +416,13 @@ class _MergeFold:
 
 
 def merge_candidates(
-    candidates: DataFrame, min_iou: float = 0.45, min_share: float = 0.85, limit: int | None = None
+    candidates: DataFrame, min_iou: float = 0.45, min_share: float = 0.85, limit: int | None = None, dealt: bool = False
 ) -> DataFrame:
     """Merge overlapping candidates of a frame, best first. Missing evidence columns count as absent.
 
     A merged box is the union of its parts, so pieces of a frame without a common pixel column never
     merge; each piece is one ordered stream. All merged boxes are returned; a ``limit`` per frame (the service has 80) is
-    applied over the pieces afterwards.
+    applied over the pieces afterwards. Candidates that are ``dealt`` by frame already are merged frame by frame where they lie.
     """
     types = dict(part.strip().split(" ") for part in MERGE_SCHEMA.split(","))
 
@@ -430,11 +434,13 @@ def merge_candidates(
         return F.col(name).cast(types[name]).alias(name)
 
     rows = candidates.select(*(column(c) for c in MERGE_COLUMNS)).filter((g.box().area > 0) & (F.col("score") > 0))
-    rows = split_by_columns(rows, FRAME).select(*MERGE_COLUMNS, "piece")
+    pieces = [] if dealt else ["piece"]
+    if not dealt:
+        rows = split_by_columns(rows, FRAME).select(*MERGE_COLUMNS, "piece")
     merged = fold_groups(
-        rows, [*FRAME, "piece"], [F.col("score").desc(), F.col("candidate_index")],
-        lambda: _MergeFold(min_iou, min_share, limit), MERGE_SCHEMA + ", piece int",
-    ).drop("piece")
+        rows, [*FRAME, *pieces], [F.col("score").desc(), F.col("candidate_index")],
+        lambda: _MergeFold(min_iou, min_share, limit), MERGE_SCHEMA + "".join(f", {p} int" for p in pieces), dealt,
+    ).drop(*pieces)
     if limit is not None:
         top = Window.partitionBy(*FRAME).orderBy(F.col("score").desc(), "candidate_index")
         merged = merged.withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= limit).drop("_n")

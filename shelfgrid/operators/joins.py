@@ -510,7 +510,7 @@ def _grown(growth, b: g.Box, width: int, height: int):
 
 
 def _kept_presets(growth, width: int, height: int, threshold: float):
-    """Pandas UDF: indexes of the grown boxes that repeat no earlier kept one, per component."""
+    """Pandas UDF: the grown boxes that repeat no earlier kept one, four sides after each other, per component."""
     presets = np.array(growth)
 
     @F.pandas_udf("array<int>")
@@ -531,7 +531,8 @@ def _kept_presets(growth, width: int, height: int, threshold: float):
             )
             overlap = inter / (area[:, :i] + area[:, i : i + 1] - inter)
             keep[:, i] = ~((overlap >= threshold) & keep[:, :i]).any(axis=1)
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in keep])
+        sides = np.stack((bx1, by1, bx2, by2), axis=2).astype(np.int32)
+        return pd.Series([box[row].ravel() for box, row in zip(sides, keep)])
 
     return kept
 
@@ -571,15 +572,9 @@ def layout_hypotheses(components: DataFrame, width: int = 3840, height: int = 21
     color = F.when(color == "none", F.col("component_color")).otherwise(color)
     rows = rows.select(
         *FRAME, F.col("region_index").alias("layout_component_id"), "rectangularity", color.alias("color_band_kind"),
-        *b.columns("component_"), F.posexplode("kept").alias("layout_hypothesis", "preset"),
+        *b.columns("component_"), "kept", F.explode(F.sequence(F.lit(0), (F.size("kept") / 4).cast("int") - 1)).alias("layout_hypothesis"),
     )
-    sides = {n: F.element_at(F.array(*(F.lit(g_[i]) for g_ in layout_growth())), F.col("preset") + 1)
-             for i, n in enumerate(("left", "top", "right", "bottom"))}
-    rows = rows.withColumns({f"grow_{n}": c for n, c in sides.items()})
-    grown = g.expand(
-        g.box("component_"), width, height, F.col("grow_left"), F.col("grow_top"), F.col("grow_right"), F.col("grow_bottom")
-    )
-    rows = rows.select("*", *grown.columns())
+    rows = rows.select("*", *(F.col("kept")[F.col("layout_hypothesis") * 4 + i].alias(s) for i, s in enumerate(SIDES)))
     share = g.box("component_").area / F.greatest(F.lit(1), b.area)
     ratio = b.area / F.lit(frame)
     rows = rows.filter(

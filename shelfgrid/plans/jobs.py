@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgrid.config import DetectConfig, ParserConfig
+from shelfgrid.config import ParserConfig
 from shelfgrid.functions import scores as sc
 from shelfgrid.operators import aggregates as agg
-from shelfgrid.operators import greedy as gr
-from shelfgrid.operators import joins as j
 from shelfgrid.operators.catalog import match_catalog
 from shelfgrid.operators.rankings import best_ocr_variant, best_promo_result, split_train_val
+from shelfgrid.plans.detection import detect_candidates  # noqa: F401
 from shelfgrid.plans.fusion import fuse_final_rows
 from shelfgrid.plans.parsing import parse_tag_fields
 from shelfgrid.schemas import TAG_FIELDS
 
-SIDES = ["x_min", "y_min", "x_max", "y_max"]
-FRAME = ["video_id", "frame_index"]
-
-
 def apply_reference(fields: DataFrame, catalog: DataFrame, cfg: ParserConfig = ParserConfig()) -> DataFrame:
     """Matched entries overwrite name and codes; the QR code stays only where a code was really read.
 
@@ -91,51 +86,6 @@ def parse_crops(
     return out if max_rows is None else out.limit(max_rows)
 
 
-def detect_candidates(
-    regions: DataFrame, codes: DataFrame | None = None, width: int = 3840, height: int = 2160,
-    cfg: DetectConfig = DetectConfig(),
-) -> DataFrame:
-    """From region features to the selected tag candidates of every frame."""
-    def shaped(df: DataFrame, source_rank: int, index, flags: dict) -> DataFrame:
-        def get(name, kind="double"):
-            return F.col(name).cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
-
-        return df.select(
-            *FRAME, (F.lit(source_rank * 100_000_000) + index).cast("int").alias("candidate_index"), "source", "score", *SIDES,
-            get("text_density"), get("rectangularity"), get("edge_density"), get("area_ratio"),
-            *(F.lit(flags.get(f, False)).alias(f) for f in ("has_text", "has_rect")),
-            (F.col("code_type") == "qr" if "code_type" in df.columns else F.lit(False)).alias("has_qr"),
-            (F.col("code_type") == "barcode" if "code_type" in df.columns else F.lit(False)).alias("has_barcode"),
-            (F.array("value") if "value" in df.columns else F.lit(None).cast("array<string>")).alias("code_values"),
-            get("anchor_hypothesis", "int"), get("anchor_key", "string"), get("layout_key", "string"), get("layout_hypothesis", "int"),
-        )
-
-    region = F.col("region_index")
-    rectangles = shaped(sc.score_rectangle_regions(regions, width, height), 0, region, {"has_rect": True})
-    texts = shaped(gr.score_text_regions(regions, width, height), 1, region, {"has_text": True})
-    colored = regions.filter("kind = 'color'").withColumn("component_color", F.lit("yellow"))
-    component = F.concat_ws(",", *(f"component_{s}" for s in SIDES))
-    layouts = j.layout_hypotheses(colored, width, height).withColumn(
-        "layout_key", F.concat_ws(":", F.col("layout_component_id").cast("string"), component)
-    )
-    layouts = shaped(layouts, 2, F.col("layout_component_id") * 100 + F.col("layout_hypothesis"), {"has_text": True})
-    white = shaped(j.score_white_regions(regions, width, height), 3, region, {})
-    bands = shaped(sc.score_color_bands(regions, width, height), 4, region, {})
-    rows = agg.union_sources(rectangles, texts, layouts, white, bands)
-    rows = sc.filter_by_geometry(j.boost_with_text(rows), width, height, cfg).drop("text_regions_inside")
-    if codes is not None:
-        found = gr.distinct_codes(codes)
-        anchors = j.anchor_hypotheses(found, width, height).withColumn("code_type", F.regexp_extract("source", "^(qr|barcode)", 1))
-        anchors = anchors.withColumn("anchor_key", F.concat_ws(",", *(f"anchor_{s}" for s in SIDES)))
-        anchors = shaped(anchors, 5, F.col("code_index") * 10 + F.col("anchor_hypothesis"), {})
-        rows = j.boost_with_codes(rows.unionByName(anchors), found).drop("code_inside")
-        rows = sc.filter_by_geometry(rows, width, height, cfg)
-    merged = gr.merge_candidates(rows, cfg.merge_iou, cfg.merge_containment, limit=None)
-    filled = {c: F.coalesce(c, F.lit(0.0)) for c in ("text_density", "rectangularity", "edge_density", "area_ratio")}
-    final = merged.withColumns(filled).filter(sc.is_final_candidate(cfg.min_score))
-    return gr.select_diverse(final, cfg)
-
-
 def build_training_set(
     labels: DataFrame, videos: DataFrame, val_ratio: float = 0.2, seed: int = 42, class_id: int = 0
 ) -> DataFrame:

@@ -107,7 +107,7 @@ def test_group_query_equals_a_loop(spark):
     assert scored and all(want[r.video_id, r.frame_index, r.region_index] == (r.x_min, r.y_min, r.x_max, r.y_max) for r in scored)
 
 
-def plain_merge(rows, min_iou=0.45, min_share=0.85):
+def plain_merge(rows, min_iou=0.45, min_share=0.85, whole=False):
     """The merging rule with codes, anchors and layouts, every kept row compared."""
     kept = []
     for r in sorted(rows, key=lambda r: (-r["score"], r["candidate_index"])):
@@ -134,9 +134,15 @@ def plain_merge(rows, min_iou=0.45, min_share=0.85):
                 codes=list(dict.fromkeys(k["codes"] + r["codes"])), anchor_hypothesis=max(hypotheses) if hypotheses else None,
                 anchors=k["anchors"] | r["anchors"], has_qr=k["has_qr"] or r["has_qr"],
             )
+            for flag in ("has_barcode", "has_text", "has_rect") if whole else ():
+                k[flag] = k[flag] or r[flag]
+            for number in ("text_density", "rectangularity", "edge_density", "area_ratio") if whole else ():
+                k[number] = max((v for v in (k[number], r[number]) if v is not None), default=None)
             break
         else:
             kept.append(r)
+    if whole:
+        return kept
     return [(k["source"], round(k["score"], 9), *k["box"], "|".join(k["codes"]) or None, k["anchor_hypothesis"], bool(k["has_qr"])) for k in kept]
 
 
