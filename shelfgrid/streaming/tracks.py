@@ -1,4 +1,4 @@
-"""Tracking on a stream: open tracks of a video live in the state store."""
+"""Tracking on a stream: boxes wait for their frame to be complete, open tracks of a video live in the state store."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfgrid.config import TrackConfig
 from shelfgrid.functions import geometry as g
@@ -16,65 +16,86 @@ from shelfgrid.functions.scores import track_gate
 from shelfgrid.operators.tracking import FrameLinker, Track
 from shelfgrid.streaming.frames import event_time
 
-OUTPUT = "video_id string, track_id int, frame_index int, candidate_index int, x_min int, y_min int, x_max int, y_max int, late boolean"
-STATE = "frame int, next_id int, tracks string"
+OUTPUT = "video_id string, track_id int, frame_index int, candidate_index int, x_min int, y_min int, x_max int, y_max int"
 SIDES = ["x_min", "y_min", "x_max", "y_max"]
+_COLUMNS = [part.strip().split()[0] for part in OUTPUT.split(",")]
+#: The state store that timers and map state need; set it on the session before the query starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_tracks(detections: DataFrame, cfg: TrackConfig = TrackConfig(), late: str = "1 minute", idle_ms: int = 600_000) -> DataFrame:
-    """Boxes with track ids as frames arrive; rows older than the video's last frame come out marked late.
+class TrackProcessor(StatefulProcessor):
+    """One video. A frame's boxes are kept by their time until the watermark passes it; then the frame is linked.
 
-    Fragments are not merged: that needs tracks which have not been seen yet. All boxes of a frame must
-    arrive in one micro-batch. State is the last three boxes of each open track. A video that was idle
-    keeps its next id only: its frames may begin anew, its track ids go on.
+    State: waiting boxes by millisecond, the last three boxes of each open track, the next id. A video that was idle for
+    ``idle_ms`` keeps its next id only: its frames may begin anew, its track ids go on.
     """
-    b = g.box()
-    rows = event_time(detections.filter(track_gate(b, F.col("score"), cfg)), shift_us=1)
-    rows = rows.withColumn("quality", g.detection_quality(b, F.col("score"), F.col("source")))
-    rows = rows.withWatermark("event_time", late).select(
-        "video_id", "frame_index", "candidate_index", "quality", *SIDES, "event_time"
-    )
-    columns = [part.strip().split()[0] for part in OUTPUT.split(",")]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.update((-1, state.get[1], "[]"))  # tracks end; the next id stays, so ids are never given twice
+    def __init__(self, cfg: TrackConfig, idle_ms: int):
+        self.cfg, self.idle_ms = cfg, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "boxes string")
+        self.tracks = handle.getValueState("tracks", "last int, next_id int, idle_at long, open string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for at, some in batch.groupby("at"):
+                held = json.loads(self.waiting.getValue((int(at),))[0]) if self.waiting.containsKey((int(at),)) else []
+                held += some[["frame_index", "quality", "candidate_index", *SIDES]].to_numpy(dtype=object).tolist()
+                self.waiting.updateValue((int(at),), (json.dumps(held, default=float),))
+                self.handle.registerTimer(int(at))
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        last, next_id, idle_at, packed = self.tracks.get() if self.tracks.exists() else (-1, 1, -1, "[]")
+        linker, out = FrameLinker(self.cfg), []
+        linker.next_id = next_id
+        for track_id, start, recent, count in json.loads(packed):
+            track = Track(track_id, start, recent[0][1])
+            track.recent, track.count = [(f, tuple(box)) for f, box in recent], count
+            linker.open.append(track)
+        if at == idle_at and not self.waiting.containsKey((at,)):
+            self.tracks.update((-1, next_id, -1, "[]"))
+            yield pd.DataFrame(columns=_COLUMNS)
             return
-        linker, last = FrameLinker(cfg), -1
-        if state.exists:
-            last, linker.next_id, packed = state.get
-            for track_id, start, recent, count in json.loads(packed):
-                track = Track(track_id, start, recent[0][1])
-                track.recent, track.count = [(f, tuple(box)) for f, box in recent], count
-                linker.open.append(track)
-        batch = pd.concat(list(batches)).sort_values(
-            ["frame_index", "quality", "candidate_index"], ascending=[True, False, True], kind="stable"
-        )
-        out, newest = [], 0
-        for frame, group in batch.groupby("frame_index", sort=True):
-            frame = int(frame)
-            newest = max(newest, int(group["event_time"].max().timestamp() * 1000))
-            kept = []
-            for row in group.itertuples(index=False):
-                box = (int(row.x_min), int(row.y_min), int(row.x_max), int(row.y_max))
-                if frame <= last:
-                    out.append((key[0], None, frame, int(row.candidate_index), *box, True))
-                elif (cfg.max_per_frame is None or len(kept) < cfg.max_per_frame) and not any(linker.motion.conflict(box, k) for k, _ in kept):
-                    kept.append((box, int(row.candidate_index)))
-            if frame <= last:
-                continue
+        held = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+        frames: dict[int, list] = {}
+        for frame, quality, candidate, *box in sorted(held, key=lambda r: (r[0], -r[1], r[2])):
+            kept = frames.setdefault(int(frame), [])
+            box = tuple(int(v) for v in box)
+            full = self.cfg.max_per_frame is not None and len(kept) >= self.cfg.max_per_frame
+            if not full and not any(linker.motion.conflict(box, k) for k, _ in kept):
+                kept.append((box, int(candidate)))
+        for frame, kept in frames.items():
             linker.expire(frame)
             owners = linker.link(frame, [box for box, _ in kept])
-            out.extend((key[0], owner, frame, cand, *box, False) for (box, cand), owner in zip(kept, owners))
+            out += [(key[0], owner, frame, candidate, *box) for (box, candidate), owner in zip(kept, owners)]
             last = frame
+        self.waiting.removeKey((at,))
         packed = json.dumps([(t.id, t.start, t.recent, t.count) for t in linker.open])
-        state.update((last, linker.next_id, packed))
-        wait_until = max(newest, state.getCurrentWatermarkMs()) + idle_ms
-        state.setTimeoutTimestamp(wait_until)
-        frame_out = pd.DataFrame(out, columns=columns)
-        frame_out["track_id"] = frame_out["track_id"].astype("Int32")
-        yield frame_out
-
-    return rows.groupBy("video_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+        self.tracks.update((last, linker.next_id, at + self.idle_ms, packed))
+        if idle_at > 0:
+            self.handle.deleteTimer(idle_at)
+        self.handle.registerTimer(at + self.idle_ms)
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_tracks(detections: DataFrame, cfg: TrackConfig = TrackConfig(), late: str = "1 minute", idle_ms: int = 600_000) -> DataFrame:
+    """Boxes with track ids, frame by frame as the watermark passes them.
+
+    The boxes of a frame may arrive in any micro-batches and any order up to ``late`` behind the newest frame; later ones are
+    dropped by the watermark. Fragments are not merged: that needs tracks which have not been seen yet. The session's
+    state store must be ``STATE_STORE``.
+    """
+    b = g.box()
+    rows = event_time(detections.filter(track_gate(b, F.col("score"), cfg)), shift_us=1000)
+    rows = rows.withColumn("quality", g.detection_quality(b, F.col("score"), F.col("source")))
+    rows = rows.withWatermark("event_time", late).select(
+        "video_id", "frame_index", "candidate_index", "quality", *SIDES, "event_time", F.unix_millis("event_time").alias("at")
     )
+    return rows.groupBy("video_id").transformWithStateInPandas(TrackProcessor(cfg, idle_ms), OUTPUT, "Append", "EventTime")
