@@ -232,9 +232,20 @@ def label_eval(t):
 
 
 @query("pair_tracks_detections", "det", f"""
-    SELECT a.video_id, a.frame_index, a.candidate_index, b.frame_index AS next_frame, b.candidate_index AS next_candidate, {s.match_score('a.', 'b.')} AS match_score
-    FROM det a JOIN det b ON a.video_id = b.video_id AND b.frame_index > a.frame_index AND b.frame_index - a.frame_index <= 36
-    WHERE {s.match_score('a.', 'b.')} >= 0.27""")
+    WITH d AS (SELECT video_id, frame_index, candidate_index, x_min, y_min, x_max, y_max, {s.w()} AS w, {s.h()} AS h, (x_min + x_max) / 2.0E0 AS cx,
+                      (y_min + y_max) / 2.0E0 AS cy, {s.near_edge('')} AS e, frame_index // 36 AS bucket FROM det),
+         later AS (SELECT *, unnest([bucket, bucket - 1]) AS meet FROM d),
+         met AS (SELECT a.video_id, a.frame_index, a.candidate_index, b.frame_index AS next_frame, b.candidate_index AS next_candidate, a.e OR b.e AS edge,
+                        CAST({s.inter('a.', 'b.')} AS DOUBLE) AS shared, a.w * a.h + b.w * b.h AS areas, a.cx - b.cx AS dx, a.cy - b.cy AS dy,
+                        greatest(80.0E0, CAST(greatest(a.w, a.h, b.w, b.h) AS DOUBLE)) AS reach,
+                        CAST(least(a.w, b.w) AS DOUBLE) / CAST(greatest(1, a.w, b.w) AS DOUBLE) AS rw, CAST(least(a.h, b.h) AS DOUBLE) / CAST(greatest(1, a.h, b.h) AS DOUBLE) AS rh
+                 FROM d a JOIN later b ON a.video_id = b.video_id AND a.bucket = b.meet AND b.frame_index > a.frame_index AND b.frame_index - a.frame_index <= 36),
+         rated AS (SELECT *, CASE WHEN areas - shared <= 0 THEN 0.0E0 ELSE shared / (areas - shared) END AS i,
+                          greatest(0.0E0, 1.0E0 - sqrt(dx * dx + dy * dy) / (reach * (CASE WHEN edge THEN 3.2E0 * 1.9E0 ELSE 3.2E0 END))) AS c FROM met),
+         scored AS (SELECT *, CASE WHEN i < (CASE WHEN edge THEN 0.0E0 ELSE 0.04E0 END) AND c < (CASE WHEN edge THEN 0.38E0 ELSE 0.55E0 END) THEN 0.0E0
+                                   WHEN edge THEN 0.45E0 * i + 0.45E0 * c + 0.10E0 * (0.5E0 * rw + 0.5E0 * rh)
+                                   ELSE 0.58E0 * i + 0.30E0 * c + 0.12E0 * (0.5E0 * rw + 0.5E0 * rh) END AS match_score FROM rated)
+    SELECT video_id, frame_index, candidate_index, next_frame, next_candidate, match_score FROM scored WHERE match_score >= 0.27""")
 def pair_tracks_detections(t):
     return j.pair_successors(t.det)
 
