@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfgrid.functions import values as v
@@ -54,36 +56,67 @@ def first_detections(rows: DataFrame, min_score: float | None = None, max_rows:
     return rows
 
 
-def sniff_csv(spark: SparkSession, path: str, separators=(";", ",", "\t")) -> tuple[str, str]:
-    """(encoding, separator): UTF-8 if every line of the file or folder is valid, else Windows Cyrillic.
+# Separators in the order in which they are tried, for catalogues and labels, and for result tables.
+CATALOG_SEPARATORS = (";", ",", "\t")
+RESULT_SEPARATORS = (",", ";", "\t")
 
-    Lines are judged by Spark where they lie; only the first ones, for the separator, reach the driver.
+
+def csv_cells(spark: SparkSession, paths: str | list[str], separators: tuple[str, ...] = CATALOG_SEPARATORS) -> DataFrame:
+    """(file, row, cells): the rows of many CSV files in one distributed read, cells by the header of their file.
+
+    Encoding and separator are decided for each file: UTF-8 if all its lines are valid, else Windows Cyrillic; the first of
+    ``separators`` in its header, else a single column. Lines are read byte for byte and judged by Spark where they lie;
+    the decisions, one row a file, are joined back. ``row`` orders the rows of a file. A line is a row, so quoted line breaks are torn.
     """
-    lines = spark.read.csv(path, header=False, sep="\x00", quote="", encoding="ISO-8859-1", schema="line string")
-    # Read byte for byte, a line is valid UTF-8 if its bytes are.
-    raw = F.encode("line", "ISO-8859-1")
-    broken = lines.where(~F.is_valid_utf8(raw.cast("string"))).limit(1).count()
-    encoding = "windows-1251" if broken else "UTF-8"
-    head = "\n".join(r["line"] for r in lines.where("line is not null").limit(20).collect()).encode("latin-1", "replace")
-    text = head.decode("utf-8-sig" if not broken else "cp1251", errors="replace")
-    for separator in separators:
-        if separator in text:
-            return encoding, separator
-    return encoding, csv.Sniffer().sniff(text).delimiter
-
-
-def scan_flexible_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV in UTF-8 or Windows Cyrillic; the latter is read byte for byte and its letters are mapped."""
-    encoding, sep = sniff_csv(spark, path)
-    cyrillic = encoding == "windows-1251"
-    df = spark.read.csv(path, header=True, sep=sep, encoding="ISO-8859-1" if cyrillic else encoding, inferSchema=False)
-    names = [c.encode("latin-1", "replace").decode("cp1251", "replace") if cyrillic else c for c in df.columns]
-    df = df.toDF(*(c.lstrip(BOM).strip() for c in names))
-    if not cyrillic:
-        return df
-    high = [chr(b) for b in range(128, 256) if b != 0x98]  # the one byte the code page leaves undefined
-    letters = bytes(b for b in range(128, 256) if b != 0x98).decode("cp1251")
-    return df.select(*(F.translate(F.col(f"`{c}`"), "".join(high), letters).alias(c) for c in df.columns))
+    lines = spark.read.csv(paths, header=False, sep="\x00", quote="", encoding="ISO-8859-1", schema="line string")
+    lines = lines.select(
+        "line", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("row"),
+    ).where("line is not null")
+    bytes_ = F.encode("line", "ISO-8859-1")
+    files = lines.groupBy("file").agg(
+        F.bool_or(~F.is_valid_utf8(bytes_.cast("string"))).alias("cyrillic"), F.min_by("line", "row").alias("head"), F.min("row").alias("first")
+    )
+    separator = F.coalesce(*(F.when(F.contains("head", F.lit(x)), F.lit(x)) for x in separators), F.lit(separators[0]))
+    files = files.select("file", "cyrillic", "head", "first", separator.alias("sep"))
+
+    def parsed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        headers: dict[tuple, list[str]] = {}
+
+        def cells(line: str, code: str, sep: str) -> list[str]:
+            text = line.encode("latin-1").decode(code, errors="replace")
+            return next(csv.reader([text], delimiter=sep), [])
+
+        for batch in batches:
+            out = []
+            for line, cyrillic, head, sep in zip(*(batch.column(c).to_pylist() for c in ("line", "cyrillic", "head", "sep"))):
+                code = "cp1251" if cyrillic else "utf-8"
+                if (head, code, sep) not in headers:
+                    if len(headers) > 1000:
+                        headers.clear()
+                    headers[head, code, sep] = [h.lstrip(BOM).strip() for h in cells(head, code, sep)]
+                out.append(list(dict(zip(headers[head, code, sep], cells(line, code, sep))).items()))
+            yield pa.record_batch([batch.column("file"), batch.column("row"), pa.array(out, pa.map_(pa.string(), pa.string()))], names=["file", "row", "cells"])
+
+    rows = lines.join(files, "file").where("row != first").select("file", "row", "line", "cyrillic", "head", "sep")
+    return rows.mapInArrow(parsed, "file string, row struct<block: bigint, at: bigint>, cells map<string, string>")
+
+
+def scan_flexible_csv(spark: SparkSession, path: str | list[str], separators: tuple[str, ...] = CATALOG_SEPARATORS) -> DataFrame:
+    """CSV files in UTF-8 or Windows Cyrillic as one table of text columns; a file without a column leaves it NULL.
+
+    The distinct headers of all files are collected; empty cells are NULL.
+    """
+    rows = csv_cells(spark, path, separators)
+    seen = rows.select("file", F.map_keys("cells").alias("names")).groupBy("names").agg(F.min("file").alias("file")).collect()
+    names = dict.fromkeys(n for r in sorted(seen, key=lambda r: (r["file"], r["names"])) for n in r["names"])
+    return rows.select(*(F.nullif(F.try_element_at("cells", F.lit(n)), F.lit("")).alias(n) for n in names if n))
+
+
+def _header_column(name: Column) -> Column:
+    """As ``_header``, for names in a column."""
+    spaced = F.translate(F.lower(v.strip(F.replace(name, F.lit(BOM), F.lit("")))), "_-", "  ")
+    return F.trim(F.regexp_replace(spaced, v.SPACES, " "))
 
 
 def _header(name: str) -> str:
@@ -110,17 +143,23 @@ def union_files(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def scan_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Catalogue files, each with its own encoding and header, as entries in file and row order."""
+def scan_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Catalogue files, each with its own encoding, separator and header, as entries in file and row order."""
     from shelfgrid.operators.catalog import build_catalog
 
-    parts = []
-    for number, path in enumerate(sorted(paths)):
-        rows = catalog_columns(scan_flexible_csv(spark, path))
-        parts.append(rows.withColumn("file", F.lit(number)).withColumn("row", F.monotonically_increasing_id()))
-    built = build_catalog(union_files(parts), ["file", "row"])
-    # Row numbers inside a file are far below 2**43 partitions x rows; file number takes the high bits.
-    return built.withColumn("entry_id", F.col("file").cast("long") * (1 << 50) + F.col("row")).drop("file", "row")
+    rows = csv_cells(spark, paths)
+    by_header = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(_header_column(e["key"]).alias("key"), e["value"].alias("value"))))
+
+    def pick(aliases) -> Column:
+        filled = [F.when(v.strip(c) != "", c) for c in (F.try_element_at("named", F.lit(a)) for a in dict.fromkeys(map(_header, aliases)))]
+        return F.coalesce(*filled, F.lit(""))
+
+    rows = rows.withColumn("named", by_header).select("file", "row", pick(PRODUCT_HEADERS).alias("product_name"), pick(BARCODE_HEADERS).alias("barcode"))
+    built = build_catalog(rows, ["file", "row"])
+    # Numbered by file, one row a file to rank, then by row; row numbers of one read are far below 2**50.
+    ranks = built.select("file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")) - 1)
+    number = F.col("rank").cast("long") * (1 << 50) + F.col("row.at")
+    return built.join(ranks, "file").withColumn("entry_id", number).drop("file", "row", "rank")
 
 
 def check_labels(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfgrid.functions import geometry as g
 from shelfgrid.functions.numbers import exact_round
 from shelfgrid.schemas import FINAL_COLUMNS
+from shelfgrid.sources.label_files import LabelFiles
 
 SIDES = ["x_min", "y_min", "x_max", "y_max"]
 BOM = "\ufeff"
@@ -120,9 +121,11 @@ def write_codes(codes: DataFrame, path: str, probe: bool = False) -> None:
 
 
 def write_training_labels(items: DataFrame, path: str) -> None:
-    """One text row of label lines per image, and the metadata table, both laid out by split."""
-    labels = items.select("split", "image_name", F.explode("lines").alias("line"))
-    labels.write.mode("overwrite").partitionBy("split", "image_name").text(f"{path}/labels")
+    """One label file an image, in one directory a split, and the metadata table by split."""
+    spark = items.sparkSession
+    spark.dataSource.register(LabelFiles)
+    files = items.select("split", "image_name", F.array_join("lines", "\n").alias("text"))
+    files.write.format(LabelFiles.name()).mode("overwrite").option("path", f"{path}/labels").save()
     items.drop("lines").write.mode("overwrite").partitionBy("split").parquet(f"{path}/metadata")
 
 

@@ -58,7 +58,13 @@ def test_tracks_codes_labels_and_summary(spark, tmp_path):
     videos = spark.createDataFrame([("v", 25.0, 100, 3840, 2160)], "video_id string, fps double, frame_count int, width int, height int")
     items = build_training_set(rd.check_labels(labels), videos)
     wr.write_training_labels(items, str(tmp_path / "s"))
-    assert len(lines(tmp_path / "s" / "labels", "*.txt")) == 4
+    made = sorted(p.relative_to(tmp_path / "s" / "labels") for p in (tmp_path / "s" / "labels").rglob("*.txt"))
+    want = {(r.split, r.image_name): r.lines for r in items.collect()}
+    assert len(made) == len(want) and {len(p.parts) for p in made} == {2}  # one file an image, one directory a split
+    for (split, image), text in want.items():
+        assert lines(tmp_path / "s" / "labels" / split, image.rsplit(".", 1)[0] + ".txt") == text
+    wr.write_training_labels(items.limit(1), str(tmp_path / "s"))  # overwrites, and leaves no unfinished files
+    assert len([p for p in (tmp_path / "s" / "labels").rglob("*") if p.is_file()]) == 1
     wr.write_run_summary(run_summary(items, class_id=0), str(tmp_path / "j"))
     assert lines(tmp_path / "j", "*.txt")[0].startswith('{"items_total":1')
 
@@ -88,3 +94,28 @@ def test_encoding_is_judged_on_the_whole_file(spark, tmp_path):
         rows = scan_flexible_csv(spark, str(tmp_path / name))
         assert rows.columns == ["fullname", "code"] and rows.count() == 8001
         assert rows.where("code = '99999'").first()["fullname"] == "Молоко Ёлка"
+
+
+def test_folder_of_files_in_two_encodings_and_separators(spark, tmp_path):
+    """Each file by its own encoding, separator and header, in one read."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("название;код\nМолоко;4600000000017\n\"Сыр; твёрдый\";4600000000024\n".encode("cp1251"))
+    (folder / "b.csv").write_text("fullname,barcode\nМолоко безлактозное,4600000000031\n", encoding="utf-8-sig")
+    (folder / "c.csv").write_text("title\tean\nКефир\t4600000000048\n", encoding="utf-8")
+    rows = rd.scan_flexible_csv(spark, str(folder))
+    assert rows.columns == ["название", "код", "fullname", "barcode", "title", "ean"]
+    got = {r["название"] or r["fullname"] or r["title"] for r in rows.collect()}
+    assert got == {"Молоко", "Сыр; твёрдый", "Молоко безлактозное", "Кефир"}
+    entries = rd.scan_catalog(spark, str(folder)).orderBy("entry_id").collect()
+    assert [(r.product_name, r.barcode) for r in entries] == [
+        ("Молоко", "4600000000017"), ("Сыр; твёрдый", "4600000000024"), ("Молоко безлактозное", "4600000000031"), ("Кефир", "4600000000048")
+    ]
+    plan = rd.csv_cells(spark, [str(folder / f"{n}.csv") for n in "abc"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2  # the lines and the decisions, however many files there are
+
+
+def test_results_try_commas_first(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("a,b;c\n1,2;3\n", encoding="utf-8")
+    assert rd.scan_flexible_csv(spark, str(tmp_path / "r.csv")).columns == ["a,b", "c"]
+    assert rd.scan_flexible_csv(spark, str(tmp_path / "r.csv"), rd.RESULT_SEPARATORS).columns == ["a", "b;c"]
