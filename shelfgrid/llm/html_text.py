@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END = re.compile(r">|=\s*[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[\s ]+")
@@ -75,26 +76,69 @@ def _noise(tag: str, attributes: str) -> tuple[bool, int]:
     return False, noise
 
 
+class Scanner:
+    """Tags of a page in one pass. A quote only quotes directly behind ``=``, and only if it is closed."""
+
+    def __init__(self, html: str):
+        self.html, self.unclosed = html, set()
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it is an end tag, attributes) of the next tag; an empty name for a comment and the like."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", False, ""
+            if html.find(">", start) < 0:
+                return None  # nor does any later tag end
+            if html[start + 1 : start + 2] in ("!", "?"):
+                return start, html.find(">", start) + 1, "", False, ""
+            closing = html.startswith("</", start)
+            name = _NAME.match(html, start + 1 + closing)
+            if name is None:
+                at = start + 1
+                continue
+            end = self.tag_end(name.end())
+            if end is None:
+                return None
+            return start, end, name[0].lower(), closing, html[name.end() : end - 1]
+        return None
+
+    def tag_end(self, at: int) -> int | None:
+        while found := _END.search(self.html, at):
+            at = found.end()
+            if found[0] == ">":
+                return at
+            quote = found[0][-1]
+            if quote not in self.unclosed:
+                close = self.html.find(quote, at)
+                if close < 0:
+                    self.unclosed.add(quote)  # nor is any later one
+                else:
+                    at = close + 1
+        return None
+
+
 def parse(html: str) -> Node:
     """The element tree; paragraphs, list items and cells end where the next one begins, unknown end tags are ignored."""
     root = node = Node("#", None, False)
-    at = 0
+    at, scanner, seen = 0, Scanner(html), set()
     while True:
-        found = _TAG.search(html, at)
-        text = html[at:found.start() if found else len(html)]
+        found = scanner.next(at)
+        text = html[at:found[0] if found else len(html)]
         if text:
             node.children.append(text)
         if not found:
             return root
-        at = found.end()
-        if not found[2]:
+        _, at, tag, closing, attributes = found
+        if not tag:
             continue
-        tag = found[2].lower()
-        if found[1]:
-            up = node
+        if closing:
+            up = node if tag in seen else None
             while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None and (tag in BLOCK or _same_block(node, up)):
+                # An inline element does not end beyond its block.
+                up = up.parent if tag in BLOCK or up.tag not in BLOCK else None
+            if up is not None and up.parent is not None:
                 node = up.parent
             continue
         if tag in VOID:
@@ -105,21 +149,14 @@ def parse(html: str) -> Node:
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             node = _closed(node, "dd" if tag == "dt" else "dt" if tag == "dd" else tag)
             node = _closed(node, tag)
-        child = Node(tag, node, *_noise(tag, found[3]))
+        child = Node(tag, node, *_noise(tag, attributes))
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-        elif not found[3].endswith("/") or tag not in ("path", "rect", "circle"):
+        elif not attributes.endswith("/") or tag not in ("path", "rect", "circle"):
             node = child
-
-
-def _same_block(node: Node, up: Node) -> bool:
-    while node is not up:
-        if node.tag in BLOCK:
-            return False
-        node = node.parent
-    return True
+            seen.add(tag)
 
 
 def _closed(node: Node, tag: str) -> Node:
@@ -168,7 +205,7 @@ def main_text(html: str | None) -> str:
     """Blocks of the best container and of its good siblings, one a line.
 
     Each block gives its parent a point, one for each comma and up to three for its length, half of them to the
-    grandparent and a third, a quarter, ... to those above. A container's points are discounted by the share of its text in
+    grandparent and a third, a quarter, ... to those above, up to eight. A container's points are discounted by the share of its text in
     links. Siblings stay if they have a fifth of the best points, or are paragraphs of over 80 characters with few links.
 
     Elements named like navigation, comments and so on go first, but not those that hold most of the page's points under a
@@ -207,16 +244,21 @@ def _judge(root: Node, named: list[Node]) -> None:
         node.dropped = node.noise == 2
     if all(n.dropped for n in named):
         return
-    points_of, within = _points(root), {}
-    total = sum(points_of.values())
-    for block, points in points_of.items():
-        up = block
-        while up is not None:
-            if up.noise == 1:
-                within[id(up)] = within.get(id(up), 0.0) + points
-            up = up.parent
+    points_of = _points(root)
+    total, within = sum(points_of.values()), dict(points_of)
+    for node in reversed(_elements(root)):
+        if node.parent is not None and node in within:
+            within[node.parent] = within.get(node.parent, 0.0) + within[node]
     for node in named:
-        node.dropped = node.dropped or within.get(id(node), 0.0) <= total / 2
+        node.dropped = node.dropped or within.get(node, 0.0) <= total / 2
+
+
+def _elements(root: Node) -> list[Node]:
+    """Elements that are not dropped, each behind its parent."""
+    out = [root]
+    for node in out:
+        out += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+    return out
 
 
 def _points(root: Node) -> dict[Node, float]:
@@ -237,19 +279,21 @@ def _best_text(root: Node) -> str:
     """The text of the best container and its good siblings."""
     blocks: list[tuple[Node, str, int]] = []
     _blocks(root, root, False, blocks)
-    scored: list[Node] = []
     for block, text, linked in blocks:
-        points = _worth(text)
-        up, share = block if block.tag not in _PARAGRAPHS else block.parent or block, 1
-        level = up
-        while level is not None:
-            if not level.chars:
-                scored.append(level)
+        level = block if block.tag not in _PARAGRAPHS else block.parent or block
+        level.chars += len(text)
+        level.linked += linked
+        points, share = _worth(text), 1
+        while level is not None and share <= _REACH:
             level.score += points / share
-            level.chars += len(text)
-            level.linked += linked
             share += 1
             level = level.parent
+    elements = _elements(root)
+    for node in reversed(elements):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    scored = [n for n in elements if n.chars]
     if not scored:
         return ""
     for node in scored:
@@ -275,6 +319,7 @@ def _best_text(root: Node) -> str:
     return "\n".join(lines)
 
 
+_REACH = 8  # ancestors that a block gives points to
 _PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption summary".split())
 
 

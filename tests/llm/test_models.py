@@ -1,5 +1,7 @@
 """Toxicity, quality and main text: accuracy on held-out rows, restored words, awkward pages."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -110,6 +112,23 @@ def test_wrappers_keep_their_article(wrapper):
         assert main_text(f"<body><div>Footer line of the page</div><{wrapper}><div>{inner}</div></{tag}></body>") == f"{text}\n{text}"
 
 
+def test_quotes_only_quote_behind_an_equals_sign():
+    assert main_text('<p class=x">First paragraph, with words.</p><p class="y">Second paragraph, with words.</p>') == "First paragraph, with words.\nSecond paragraph, with words."
+    assert main_text("<p data-x=it's>One, two and three.</p><p>It's four, five and six.</p>") == "One, two and three.\nIt's four, five and six."
+    assert main_text("<div><a title='a > b'>Link</a> and text, of some length.</div>") == "Link and text, of some length."
+    assert main_text('<p class="never closed>Text, all the same, is read.</p>') == "Text, all the same, is read."
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 350_000, '<a "' * 250_000, '<a x="' * 200_000, "<div>x" * 50_000, "<b>x" * 50_000, "<!--" * 250_000, "<!" * 500_000 + ">", "</x>" * 250_000,
+    "<b>" + "<div>" * 50_000 + "</b>" * 50_000, "<p><" * 250_000, "&amp" * 250_000,
+])
+def test_broken_pages_take_linear_time(html):
+    started = time.time()
+    main_text(html)
+    assert time.time() - started < 5
+
+
 def test_hidden_is_an_attribute():
     for attributes in ("hidden", "hidden=''", "aria-hidden='true'", "style='color: red; display: none'"):
         assert main_text(f"<div><p>Shown, with some more words in it.</p><p {attributes}>Not shown, with some more words.</p></div>") == "Shown, with some more words in it."
