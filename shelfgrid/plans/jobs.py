@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfgrid.config import ParserConfig
 from shelfgrid.functions import scores as sc
+from shelfgrid.functions.numbers import exact_round
 from shelfgrid.operators import aggregates as agg
 from shelfgrid.operators.catalog import match_catalog
+from shelfgrid.operators.joins import match_labels
 from shelfgrid.operators.rankings import best_ocr_variant, best_promo_result, split_train_val
 from shelfgrid.plans.detection import detect_candidates  # noqa: F401
 from shelfgrid.plans.fusion import fuse_final_rows
@@ -65,6 +67,20 @@ def recognize_detections(
     return out
 
 
+def recognize_labelled(
+    detections: DataFrame, labels: DataFrame, max_delta_ms: float = 2000.0, min_iou: float = 0.25, cfg: ParserConfig = ParserConfig()
+) -> DataFrame:
+    """Detections with the fields of the label they match, and ``match_iou``; detections without a label are left out.
+
+    ``labels`` has ``video_id, label_id, frame_timestamp``, sides and any of the tag fields; each label is used once.
+    """
+    keys = ["video_id", "frame_index", "candidate_index"]
+    found = match_labels(detections, labels, max_delta_ms, min_iou).withColumn("match_iou", exact_round(F.col("match_iou"), 4))
+    fields = labels.select("video_id", "label_id", *(F.col(f).alias(f"label_{f}") for f in TAG_FIELDS if f in labels.columns))
+    rows = detections.select(*keys, "timestamp_ms", "source", "score").join(found, keys).join(fields, ["video_id", "label_id"])
+    return parse_tag_fields(rows, [*keys, "timestamp_ms", "source", "score", "match_iou"], cfg)
+
+
 def tags_to_csv(recognized: DataFrame, filename: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Final rows as the sink writes them."""
     rows = recognized
@@ -75,13 +91,16 @@ def tags_to_csv(recognized: DataFrame, filename: str | None = None, keep: list[s
 
 def parse_crops(
     crops: DataFrame, keys: list[str], order: list[str], variants: DataFrame, promo: DataFrame, catalog: DataFrame,
-    max_rows: int | None = None,
+    max_rows: int | None = None, codes: DataFrame | None = None,
 ) -> DataFrame:
-    """Crops with any price or code field, in report order; optionally the first ``max_rows``."""
+    """Crops with any price or code field, in report order; optionally the first ``max_rows``.
+
+    ``codes`` has what was read in a crop, by ``keys``: ``code_values`` in the order of reading.
+    """
     texts = best_ocr_variant(variants).select("tag_id", "raw_text")
     best = best_promo_result(promo).select("tag_id", *("confidence", "price_card", "price_default", "discount_amount"))
     rows = crops.join(texts, "tag_id", "left")
-    out = recognize_detections(rows, keys, catalog, promo=crops.select(*keys).join(best, "tag_id"))
+    out = recognize_detections(rows, keys, catalog, codes=codes, promo=crops.select(*keys).join(best, "tag_id"))
     out = out.filter(sc.has_signal(out.columns)).orderBy(*order)
     return out if max_rows is None else out.limit(max_rows)
 
