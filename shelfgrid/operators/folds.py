@@ -62,6 +62,11 @@ def fold_groups(
     return arranged.mapInArrow(run, schema)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, for rows that are small but slow: adaptive execution would join their partitions by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def filter_groups(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], make: Callable[[], object], dealt: bool = False) -> DataFrame:
     """Rows that a fresh object of each group keeps; it is asked ``keep(*columns)`` for the rows in order.
 

@@ -10,7 +10,7 @@ from shelfgrid.functions import scores as sc
 from shelfgrid.functions import text as x
 from shelfgrid.functions import values as v
 from shelfgrid.operators import aggregates as agg
-from shelfgrid.operators.folds import fold_groups
+from shelfgrid.operators.folds import fold_groups, shuffle_partitions
 from shelfgrid.operators.greedy import group_words_into_lines
 from shelfgrid.operators.joins import pair_rub_kop
 from shelfgrid.schemas import TAG_FIELDS
@@ -31,7 +31,7 @@ def parse_tag_fields(rows: DataFrame, keep: list[str], cfg: ParserConfig = Parse
     """
     have = set(rows.columns)
     if keep:
-        rows = rows.repartition(*keep)
+        rows = rows.repartition(shuffle_partitions(rows), *keep)
     none = F.lit(None).cast("string")
 
     def column(name: str) -> Column:
