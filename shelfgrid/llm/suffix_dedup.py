@@ -103,7 +103,18 @@ def _chunked(batches: Iterator[pa.RecordBatch], width: int, extra: Callable) ->
         yield chunk
 
 
-def _sent(chunk: _Chunk, digests: np.ndarray, places: np.ndarray, silent: np.ndarray, bits: int, stored: str) -> Iterator[dict]:
+def _packed(digests: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each digest; the bucket says the rest where they do not hold all bits."""
+    return np.ascontiguousarray(digests.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _sent(chunk: _Chunk, digests: np.ndarray, places: np.ndarray, silent: np.ndarray, bits: int, width: int) -> Iterator[dict]:
     """Rows for the buckets. Equal suffixes of a chunk are folded: known to be repeated, they need no answer."""
     starts = np.cumsum([0, *(len(p) for p in chunk.pieces)])[:-1]
     order = np.argsort(digests, kind="stable")
@@ -128,8 +139,8 @@ def _sent(chunk: _Chunk, digests: np.ndarray, places: np.ndarray, silent: np.nda
     for b in np.flatnonzero((np.diff(asked_at) > 0) | (np.diff(told_at) > 0)):
         lo, hi = asked_at[b], asked_at[b + 1]
         yield {
-            "kind": 0, "bucket": int(b), "uid": uid, "a": asked[lo:hi].astype(stored).tobytes(), "b": _gaps(where[lo:hi]),
-            "c": told[told_at[b]:told_at[b + 1]].astype(stored).tobytes(),
+            "kind": 0, "bucket": int(b), "uid": uid, "a": _packed(asked[lo:hi], width), "b": _gaps(where[lo:hi]),
+            "c": _packed(told[told_at[b]:told_at[b + 1]], width),
         }
 
 
@@ -141,15 +152,15 @@ def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
 
 # --- buckets --------------------------------------------------------------------------------------------------------
 
-def _sorted_bucket(stored: str):
+def _sorted_bucket(width: int):
     """Sort one bucket; each chunk hears which of its suffixes have an equal neighbour."""
 
     def work(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         if rows[0]["kind"] == 1:
             return pa.Table.from_batches([_batch(rows, _FOUND)])
-        suffixes = [np.frombuffer(r["a"], stored) for r in rows]
-        all_, told = np.concatenate(suffixes), np.unique(np.concatenate([np.frombuffer(r["c"], stored) for r in rows]))
+        suffixes = [_unpacked(r["a"], width) for r in rows]
+        all_, told = np.concatenate(suffixes), np.unique(np.concatenate([_unpacked(r["c"], width) for r in rows]))
         if not len(all_):
             return pa.Table.from_batches([_batch([], _FOUND)])
         order = np.argsort(all_, kind="stable")
@@ -188,8 +199,8 @@ def _answers(group: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([k for k, _ in out], pa.binary()), "runs": pa.array([r for _, r in out], pa.binary())})
 
 
-def _repeated(sent: DataFrame, stored: str, name: str) -> DataFrame:
-    found = sent.groupBy("kind", "bucket").applyInArrow(_sorted_bucket(stored), _FOUND)
+def _repeated(sent: DataFrame, width: int, name: str) -> DataFrame:
+    found = sent.groupBy("kind", "bucket").applyInArrow(_sorted_bucket(width), _FOUND)
     answers = found.groupBy("uid").applyInArrow(_answers, "key binary, runs binary")
     out = written(answers.groupBy("key").agg(F.collect_set("runs").alias("runs")), name)
     released(sent.sparkSession)
@@ -214,7 +225,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     a filter of candidates; no ranks are made, and it settles no tie. Then those suffixes are sorted by their first ``length`` bytes,
     which settles all ties. Sorting is by bucket, one bucket of bounded size in memory
     at a time. The order is that of 64-bit digests of the bytes, not the alphabet's: only ties count here. The first round
-    keeps 32 bits beside the bucket, as it need not be exact; the second all 64 (two different strings are taken for one
+    keeps 32 bits beside the bucket, as it need not be exact; the second all 64, less those that the bucket says (two different strings are taken for one
     with a chance of 2**-64 a pair).
 
     Equal suffixes of a task's chunk are folded before the shuffle, and copies of a text take part once, so a passage or a text
@@ -240,13 +251,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
                 places.append(own[_IN_COVER[(own + offset) % PERIOD]] + start)
                 start += len(piece)
             at = np.concatenate(places)
-            rows = list(_sent(chunk, hashes.at(at, 64), at, np.zeros(len(at), bool), bits, "<u4"))
+            rows = list(_sent(chunk, hashes.at(at, 64), at, np.zeros(len(at), bool), bits, 4))
             yield _batch(rows, _SENT)
 
-    shared = _repeated(keyed.select("key", F.col("_data").alias("data")).mapInArrow(sampled, _SENT), "<u4", "cover-repeats")
+    shared = _repeated(keyed.select("key", F.col("_data").alias("data")).mapInArrow(sampled, _SENT), 4, "cover-repeats")
     texts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("_data").alias("data"))
     texts = written(texts.join(shared, "key"), "repeat-candidates")
+    dropped(spark, shared)
     released(spark)
+    whole = -(-(64 - bits) // 8)  # bytes that hold all bits of a digest but those of its bucket
 
     def candidates(batch, i):
         return batch.column("copies")[i].as_py(), _read_runs(batch.column("runs")[i].as_py())
@@ -264,9 +277,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
             if not len(at):
                 continue
             hashes = WindowHash(np.concatenate(chunk.pieces), length)
-            yield _batch(list(_sent(chunk, hashes.at(at, length), at, np.concatenate(silent), bits, "<u8")), _SENT)
+            yield _batch(list(_sent(chunk, hashes.at(at, length), at, np.concatenate(silent), bits, whole)), _SENT)
 
-    repeated = _repeated(texts.mapInArrow(suffixes, _SENT), "<u8", "repeated-suffixes")
+    repeated = _repeated(texts.mapInArrow(suffixes, _SENT), whole, "repeated-suffixes")
 
     def cut(batches):
         for batch in batches:
@@ -289,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     judged = written(
         marked.mapInArrow(cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary").where("n_removed > 0"), "judged"
     )
-    dropped(spark, texts, shared, repeated)
+    dropped(spark, texts, repeated)
     zero = F.lit(0).cast("long")
     base = keyed.withColumn("n_bytes", F.octet_length("_data").cast("long")).drop(text)
     if not keep_text:
