@@ -9,8 +9,11 @@ from shelfgrid.session import local_session
 
 HEADLINE = (
     "fuse_final_rows", "parse_tag_fields", "boost_with_text", "best_frame_per_window", "nms_detections",
-    "track_objects", "match_labels", "summarize_tracks", "match_catalog", "detect_candidates", "tags_to_csv",
+    "track_objects", "match_labels", "summarize_tracks",
 )
+#: Whole jobs, timed as long as ``START_WITHIN`` seconds have not passed when their turn comes.
+JOBS = ("match_catalog", "tags_to_csv", "detect_candidates")
+START_WITHIN = 420
 
 
 def main() -> None:
@@ -19,9 +22,9 @@ def main() -> None:
     spark = local_session(cores, shuffle_partitions=int(cores), app="shelfgrid-bench")
     registered = spark_queries()
     spark.read.parquet(f"{directory}/lineitem.parquet").count()
-    times = {}
-    for name in HEADLINE:
-        if name not in registered:
+    times, begun = {}, time.time()
+    for name in (*HEADLINE, *JOBS):
+        if name not in registered or (name in JOBS and time.time() - begun > START_WITHIN):
             continue
         started = time.time()
         registered[name](spark, directory).write.format("noop").mode("overwrite").save()
